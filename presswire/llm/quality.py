@@ -22,7 +22,7 @@ WINDOW = 5
 #: Bands of each script: least and most characters per token, most byte-fallback share, least
 #: token entropy as a share of what its token count allows. Texts outside are rejected.
 BANDS: dict[str, tuple[float, float, float, float]] = {
-    "LATIN": (1.55, 8.0, 0.20, 0.45),
+    "LATIN": (1.85, 8.0, 0.20, 0.45),
     "CYRILLIC": (1.0, 8.0, 0.20, 0.45),
     "GREEK": (0.8, 8.0, 0.25, 0.45),
     "ARABIC": (0.8, 8.0, 0.25, 0.45),
@@ -30,8 +30,8 @@ BANDS: dict[str, tuple[float, float, float, float]] = {
     "CJK": (0.3, 4.0, 0.60, 0.45),
     "": (0.3, 8.0, 0.60, 0.45),
 }
-#: Entropy says little about fewer tokens.
-MIN_TOKENS = 32
+#: Fertility and entropy say little about fewer tokens.
+MIN_TOKENS = 64
 
 
 @functools.lru_cache(1 << 16)

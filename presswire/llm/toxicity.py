@@ -32,32 +32,36 @@ WORD = re.compile(r"\w+")
 REMEMBERED = 400_000
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word: itself, and its character n-grams (3 to 6) from
-    the start and (4 and 5) from anywhere."""
+def grams(word: str) -> set[str]:
+    """Features of a lower-cased word: itself, its beginnings, and its character n-grams (4, 5)."""
     w = f"^{word[:40]}$"
-    grams = {w, *[w[:n] for n in (4, 5, 6, 7)], *[w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)]}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams]
+    n = len(w)
+    return {w, w[:4], w[:5], w[:6], w[:7], *[w[i : i + 4] for i in range(n - 3)], *[w[i : i + 5] for i in range(n - 4)]}
+
+
+def features(word: str) -> list[int]:
+    """Hashes of the features, for counting."""
+    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams(word)]
 
 
 class _Scores(dict):
     """Scores of words, worked out on first use."""
 
-    def __init__(self, weights: dict[int, float]):
+    def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
         if len(self) > REMEMBERED:
             self.clear()
-        get = self.weights.get
-        s = self[word] = sum([get(f, 0.0) for f in set(features(word))])
+        found = self.weights.keys() & grams(word)
+        s = self[word] = sum([self.weights[g] for g in sorted(found)]) if found else 0.0
         return s
 
 
 @dataclass
 class Model:
     bias: float
-    weights: dict[int, float]
+    weights: dict[str, float]
 
     def scorer(self):
         """text to its score and its sentences with evidence: (start, end, score)."""
@@ -90,9 +94,9 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
 
     def of(word: str) -> np.ndarray:
         if (f := ids.get(word)) is None:
-            if len(ids) > REMEMBERED // 4:
+            if len(ids) > REMEMBERED:
                 ids.clear()
-            f = ids[word] = np.array(features(word), np.int64)
+            f = ids[word] = np.unique(np.array(features(word), np.int32))
         return f
 
     with_, without = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -110,11 +114,20 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
     chosen = chosen[g[chosen] > 0]
     index = {int(f): i for i, f in enumerate(chosen)}
 
+    picked: dict[str, list[int]] = {}
+
+    def evidence(word: str) -> list[int]:
+        if (own := picked.get(word)) is None:
+            if len(picked) > REMEMBERED:
+                picked.clear()
+            own = picked[word] = [i for f in of(word).tolist() if (i := index.get(f)) is not None]
+        return own
+
     rows_doc, plain, cell_row, cell_f = [], np.zeros(n), [], []
     for d, t in enumerate(texts):
         k = 0
         for m in SENTENCE.finditer(t):
-            own = [i for w in WORD.findall(m[0].lower()) for f in set(of(w).tolist()) if (i := index.get(f)) is not None]
+            own = [i for w in WORD.findall(m[0].lower()) for i in evidence(w)]
             if own:
                 cell_row += [len(rows_doc)] * len(own)
                 cell_f += own
@@ -128,7 +141,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1 if n else 1):
         z = b + np.bincount(cell_row, w[cell_f], len(rows_doc))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        p, p0 = np.exp(-np.logaddexp(0, -z)), np.exp(-np.logaddexp(0, -b))
         log_clean = -plain * np.logaddexp(0, b) - np.bincount(rows_doc, np.logaddexp(0, z), n)
         clean = np.exp(np.minimum(log_clean, -1e-9))
         up = np.where(y > 0, clean / (1 - clean), -1.0)  # d loglik / d (-log_clean)
@@ -137,7 +150,12 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, b = w + move[:-1], b + move[-1]
-    return Model(float(b), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6})
+    weights = {}
+    for word, own in picked.items():
+        for g in grams(word) if own else ():
+            if (i := index.get(zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))) is not None and abs(w[i]) > 1e-6:
+                weights[g] = float(w[i])
+    return Model(float(b), weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
