@@ -11,7 +11,9 @@ all texts would have to be in one place, so the work is dealt by content first:
    open: one occurrence of each different surroundings goes on.
 3. Open surroundings with the same anchor meet in a task. It builds the suffix array of their bytes
    in two stages and finds equal windows from adjacent common prefixes. An anchor with very many
-   different surroundings is dealt over several tasks; hashes of the windows then join them.
+   different surroundings is dealt over several tasks; what these tasks do not find among their
+   own is then joined by hashes: first of the bytes that BLOCK windows have in common, and where
+   these occur again, of the windows.
 """
 
 from __future__ import annotations
@@ -29,15 +31,18 @@ LENGTH, GRAM = 200, 40
 CHUNK, SEGMENT = 1 << 20, 1 << 23
 #: Different surroundings of one anchor that a task takes, and those of all anchors.
 SHARE, TOGETHER = 256, 1024
+#: Neighbouring windows that are looked up together across tasks.
+BLOCK = 8
 _PLACE = np.uint64((1 << 24) - 1)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Anchors of all windows inside texts that lie end to end in ``data``: for each the first
-    window's start, the number of further windows, its hash and its surroundings' hash."""
+    window's start, the number of further windows, the anchor's distance from the first window's
+    start, its hash and its surroundings' hash."""
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     sub = Substrings(data)
     grams = sub.grams(gram)
     low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -51,12 +56,12 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     ok = start + length <= ends[np.minimum(text, len(ends) - 1)]
     start, text = start[ok], text[ok]
     if not len(start):
-        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     at = (low[ok] & _PLACE).astype(np.int64)
     new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
     first, last, at = start[new], start[np.append(new[1:], len(start)) - 1], at[new]
     around = mix(sub(first, last + length) ^ mix((at - first).astype(np.uint64) + np.uint64(1)))
-    return first, last - first, grams[at], around
+    return first, last - first, at - first, grams[at], around
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -160,7 +165,7 @@ def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.withColumn("did", F.xxhash64(F.col(doc_id), F.col(doc_id).isNull())).withColumn("th", text_hash(text))
 
 
-_ANCHORS = "did long, th long, p int, more int, anchor long, around long"
+_ANCHORS = "did long, th long, p int, more int, lead int, anchor long, around long"
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -173,15 +178,16 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 ends = offsets[i + 1 : j + 1] - offsets[i]
                 for s in range(0, max(1, len(whole)), SEGMENT):  # only a text by itself has more than one
                     part = whole[s : s + SEGMENT + length - 1]
-                    first, more, anchor, around = anchors(part, np.minimum(ends, len(part)) if j - i > 1 else np.array([len(part)]), length)
+                    first, more, lead, anchor, around = anchors(part, np.minimum(ends, len(part)) if j - i > 1 else np.array([len(part)]), length)
                     row = i + np.searchsorted(ends, first + s, "right")
                     p = first + s - (offsets[row] - offsets[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(th[row]), pa.array(p.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64))], ["did", "th", "p", "more", "anchor", "around"])
+                    yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(th[row]), pa.array(p.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64))], ["did", "th", "p", "more", "lead", "anchor", "around"])
 
     return docs.select("did", "th", "text").mapInArrow(run, _ANCHORS)
 
 
-_FOUND = "did long, th long, first int, past int, window long"
+_FOUND = "did long, th long, first int, past int, core long, windows array<struct<first:int,window:long>>"
+_WINDOWS = pa.list_(pa.struct([("first", pa.int32()), ("window", pa.int64())]))
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -190,18 +196,19 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     left out."""
     seen = _anchor_rows(docs, length)
     dup = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("alike")).where("n > 1").drop("n")
+    dup = written(dup)  # so that the join below deals both sides anew, and skewed keys can be split
     met = written(seen.join(dup, "anchor"))
     past = (F.col("p") + F.col("more") + length).cast("int").alias("past")
     covered = met.where("alike").select("did", "th", F.col("p").alias("first"), past)
 
     open_ = met.where(~F.col("alike"))
-    kinds = written(open_.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "p", "more")).alias("at")))
+    kinds = written(open_.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "p", "more", "lead")).alias("at")))
     covered = covered.unionAll(open_.join(kinds.where("n > 1").select("anchor", "around"), ["anchor", "around"]).select("did", "th", F.col("p").alias("first"), past))
 
-    of_anchor = kinds.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    of_anchor = written(kinds.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
     parts = max(1, math.ceil(kinds.count() / TOGETHER))
     share = F.pmod(F.xxhash64("around"), F.col("shares")).cast("int")
-    asked = kinds.join(of_anchor, "anchor").select("at.did", "at.th", F.struct("at.p", "at.more", (F.col("n") > 1).alias("done"), (F.col("shares") > 1).alias("split"), F.pmod(F.xxhash64("anchor", share), F.lit(parts)).cast("int").alias("part"), "anchor", share.alias("share")).alias("ask"))
+    asked = kinds.join(of_anchor, "anchor").select("at.did", "at.th", F.struct("at.p", "at.more", "at.lead", (F.col("n") > 1).alias("done"), (F.col("shares") > 1).alias("split"), F.pmod(F.xxhash64("anchor", share), F.lit(parts)).cast("int").alias("part"), "anchor", share.alias("share")).alias("ask"))
     asked = asked.groupBy("did", "th").agg(F.collect_list("ask").alias("asks"))
 
     def cut(batches):
@@ -209,17 +216,17 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = []
             for did, th, text, asks in zip(*(b.column(c).to_pylist() for c in ("did", "th", "text", "asks")), strict=True):
                 data = (text or "").encode()
-                rows += [(did, th, a["p"], a["more"], a["done"], a["split"], a["part"], a["anchor"], a["share"], data[a["p"] : a["p"] + a["more"] + length]) for a in asks]
+                rows += [(did, th, a["p"], a["more"], a["lead"], a["done"], a["split"], a["part"], a["anchor"], a["share"], data[a["p"] : a["p"] + a["more"] + length]) for a in asks]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 10, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)],
-                ["did", "th", "p", "more", "done", "split", "part", "anchor", "share", "bytes"],
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 11, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)],
+                ["did", "th", "p", "more", "lead", "done", "split", "part", "anchor", "share", "bytes"],
             )
 
-    snippets = docs.select("did", "th", "text").join(asked, ["did", "th"]).mapInArrow(cut, "did long, th long, p int, more int, done boolean, split boolean, part int, anchor long, share int, bytes binary")
+    snippets = docs.select("did", "th", "text").join(asked, ["did", "th"]).mapInArrow(cut, "did long, th long, p int, more int, lead int, done boolean, split boolean, part int, anchor long, share int, bytes binary")
 
     def match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("anchor", "ascending"), ("did", "ascending"), ("th", "ascending"), ("p", "ascending")])
-        did, th, p, more, done, split, anchor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th", "p", "more", "done", "split", "anchor"))
+        did, th, p, more, lead, done, split, anchor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th", "p", "more", "lead", "done", "split", "anchor"))
         texts = table.column("bytes").to_pylist()
         owner, offset, kind = equal_windows(texts, (more + 1).tolist(), length)
         twice = np.bincount(kind)[kind] > 1
@@ -229,27 +236,36 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         o, w = owner[use], offset[use]
         new = np.flatnonzero((np.diff(o, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))
         stop = np.append(new[1:], len(o)) - 1 if len(new) else new
-        rows = [did[o[new]], th[o[new]], p[o[new]] + w[new], p[o[new]] + w[stop] + length, np.zeros(len(new), np.int64)]
-        known = np.ones(len(new), bool)
-        # windows of an anchor that other tasks have too, one of each kind
-        other = np.flatnonzero(split[owner])
-        if len(other):
-            _, one = np.unique(kind[other], return_index=True)
-            other = other[one]
-            o, w = owner[other], offset[other]
-            text = np.frombuffer(b"".join(texts), np.uint8)
-            begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)[o] + w
-            window = mix(Substrings(text)(begin, begin + length) ^ mix(anchor[o].view(np.uint64))).view(np.int64)
-            rows = [np.concatenate(x) for x in zip(rows, [did[o], th[o], p[o] + w, p[o] + w + length, window], strict=True)]
-            known = np.concatenate([known, np.zeros(len(o), bool)])
-        a = [pa.array(r.astype(t)) for r, t in zip(rows, (np.int64, np.int64, np.int32, np.int32, np.int64), strict=True)]
-        a[4] = pa.array(rows[4], pa.int64(), mask=known)
-        return pa.Table.from_arrays(a, ["did", "th", "first", "past", "window"])
+        rows = [did[o[new]], th[o[new]], p[o[new]] + w[new], p[o[new]] + w[stop] + length]
+        # windows of anchors that other tasks have too: those that are not done and one of each kind that is
+        first_of = np.append(True, np.diff(kind) != 0)
+        use = np.flatnonzero(split[owner] & (first_of | ~twice))
+        block = (lead[owner[use]] - offset[use]) // BLOCK
+        at = np.lexsort((offset[use], block, owner[use]))
+        use, block = use[at], block[at]
+        o, w = owner[use], offset[use]
+        text = Substrings(np.frombuffer(b"".join(texts), np.uint8))
+        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)[o]
+        name = mix(anchor[o].view(np.uint64))
+        window = mix(text(begin + w, begin + w + length) ^ name).view(np.int64)
+        new = np.flatnonzero((np.diff(o, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        common = begin[new] + lead[o[new]] - BLOCK * block[new]
+        core = mix(text(common, common + length - BLOCK + 1) ^ mix(name[new] + block[new].astype(np.uint64))).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(use)).astype(np.int32)), pa.StructArray.from_arrays([pa.array((p[o] + w).astype(np.int32)), pa.array(window)], ["first", "window"]))
+        none, n = np.zeros(len(new), np.int64), len(rows[0])
+        columns = [np.concatenate([a, b]) for a, b in zip(rows, (did[o[new]], th[o[new]], none, none), strict=True)]
+        out = [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)]
+        out.append(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(core)]))
+        out.append(pa.concat_arrays([pa.nulls(n, _WINDOWS), lists.cast(_WINDOWS)]))
+        return pa.Table.from_arrays(out, ["did", "th", "first", "past", "core", "windows"])
 
     found = written(snippets.groupBy("part").applyInArrow(match, _FOUND))
-    lone = found.where("window is not null")
-    again = lone.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    covered = covered.unionAll(found.where("window is null").drop("window")).unionAll(lone.join(again, "window").drop("window"))
+    lone = found.where("core is not null").select("did", "th", "core", "windows")
+    shared = written(lone.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
+    near = written(lone.join(shared, "core").select("did", "th", F.inline("windows")))
+    again = written(near.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"))
+    covered = covered.unionAll(found.where("core is null").select("did", "th", "first", "past"))
+    covered = covered.unionAll(near.join(again, "window").select("did", "th", "first", (F.col("first") + length).alias("past")))
     return covered.groupBy("did", "th").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
 
 
