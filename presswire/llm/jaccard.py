@@ -5,7 +5,8 @@ agree in a coordinate with the probability of their Jaccard similarity. A run st
 sets in one bucket. A bucket picks coordinates by a hash of its own path, the same for all its
 sets, and hands a set on to the child bucket of each picked coordinate's value: sets that share
 the sampled token stay together. A bucket that is small, or that hardly shrinks because its sets
-are alike, is compared by brute force on the full sets. Runs repeat until the target recall.
+are alike, is compared by brute force: signatures tell which pairs can be links, and these are
+decided on the full sets. Runs repeat until the target recall.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ RECALL = 0.99999
 SMALL, LEVELS = 64, 8
 #: A child with over this share of its parent's sets is of alike sets, which splitting won't part.
 ALIKE = 0.5
+#: Coordinates in which signatures must agree for a pair to be compared: a pair at the threshold,
+#: which agrees in 51 on average, agrees in fewer with a probability of about 1e-6.
+AGREE = 35
 #: Sets in a block; larger buckets are compared block against block.
 BLOCK = 256
 CHUNK = 1 << 20
@@ -111,10 +115,12 @@ def children(node: np.ndarray, signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_level(signature: np.ndarray, runs: int) -> np.ndarray:
-    """The buckets below the roots of all runs; roots pick different coordinates."""
+def first_levels(signature: np.ndarray, runs: int) -> np.ndarray:
+    """The buckets two levels below the roots of all runs; roots pick different coordinates."""
     picked = np.random.Generator(np.random.PCG64(5)).permutation(COORDINATES)[: runs * BRANCHES]
-    return mix(mix(signature[:, picked].astype(np.uint64)) + np.arange(1, len(picked) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    node = mix(mix(signature[:, picked].astype(np.uint64)) + np.arange(1, len(picked) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    below = [children(node[:, i], signature) for i in range(node.shape[1])]
+    return np.ascontiguousarray(np.concatenate(below, axis=1)) if below else node
 
 
 def _sets_of(df: DataFrame, runs: int) -> DataFrame:
@@ -127,7 +133,7 @@ def _sets_of(df: DataFrame, runs: int) -> DataFrame:
                 sets, _ = shingle_sets(data, offsets[i : j + 1])
                 full = [s for s in sets if len(s)]
                 sig = signatures(full)
-                nodes = first_level(sig, runs).view(np.int64)
+                nodes = first_levels(sig, runs).view(np.int64)
                 at, keys, sigs, lists = 0, [], [], []
                 for s in sets:
                     if len(s):
@@ -181,13 +187,38 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return written(leaves.join(same.groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"))
 
 
+def _candidates(table: pa.Table) -> pa.Table:
+    """The rows of a bucket, or of two of its blocks, that may have links which no bucket of a
+    smaller number finds."""
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+    if len(sig) == 2:
+        linked = np.array([[0, 1], [1, 0]], bool) & bool((sig[0] == sig[1]).sum() >= AGREE)
+    else:
+        agree = np.zeros((len(sig), len(sig)), np.uint8)
+        for i in range(sig.shape[1]):
+            agree += sig[:, i, None] == sig[None, :, i]
+        linked = agree >= AGREE
+        linked[np.diag_indices(len(sig))] = False
+    linked = _first_time(table, linked)
+    return table.select(["node", "key", "block", "low", "high"]).filter(pa.array(linked.any(axis=1)))
+
+
+def _first_time(table: pa.Table, linked: np.ndarray) -> np.ndarray:
+    """Links between the blocks that meet here and not in a bucket of a smaller number."""
+    block = table.column("block").to_numpy()
+    if (block != block[0]).any():
+        linked = linked & (block[:, None] != block[None, :])
+    if linked.any() and (seen := seen_before(table.column("buckets").to_pylist(), table.column("node")[0].as_py())) is not None:
+        linked = linked & ~seen
+    return linked
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Links inside one bucket, or between two of its blocks: for each set with links their
     number (documents and texts) and its star's centre."""
     keys = table.column("key").to_pylist()
     sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
     weight = table.column("n").to_numpy()
-    block = table.column("block").to_numpy()
     n = len(keys)
     sizes = np.array([len(s) for s in sets], np.int64)
     if n == 2:
@@ -199,22 +230,19 @@ def _compare(table: pa.Table) -> pa.Table:
         many = counts >= 2
         column, use = np.cumsum(many) - 1, many[where]
         owner, column = owner[use], column[where[use]]
-        width, both = max(1, 8_000_000 // n), np.zeros((n, n))
+        width, both = min(len(counts), max(1, 8_000_000 // n)), np.zeros((n, n))
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, [lo, lo + width])
-            x = np.zeros((n, width), np.float32)
+            x = np.zeros((n, min(width, int(column[-1]) + 1 - lo)), np.float32)
             x[owner[a:b], column[a:b] - lo] = 1
             both += x @ x.T
         both = both.astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - both
     linked = both * DENOMINATOR >= NUMERATOR * union
     linked[np.diag_indices(n)] = False
-    if (block != block[0]).any():
-        linked &= block[:, None] != block[None, :]
-    if linked.any() and (seen := seen_before(table.column("buckets").to_pylist(), table.column("node")[0].as_py())) is not None:
-        linked &= ~seen
+    linked = _first_time(table, linked)
     some = np.flatnonzero(linked.any(axis=1))
     label = stars(linked)
     return pa.table({"key": pa.array([keys[i] for i in some], pa.binary()), "centre": pa.array([keys[label[i]] for i in some], pa.binary()), "links": pa.array(linked[some] @ weight, pa.int64()), "texts": pa.array(linked[some].sum(axis=1), pa.int64())})
@@ -223,13 +251,20 @@ def _compare(table: pa.Table) -> pa.Table:
 _COMPARED = pa.schema([("key", pa.binary()), ("centre", pa.binary()), ("links", pa.int64()), ("texts", pa.int64())])
 
 
-def _compare_all(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """:func:`_compare` for each bucket and block pair among the rows."""
-    table = table.sort_by([("node", "ascending"), ("low", "ascending"), ("high", "ascending"), ("key", "ascending")])
-    ids = np.stack([table.column(c).to_numpy() for c in ("node", "low", "high")])
-    edge = np.flatnonzero((np.diff(ids, axis=1, prepend=ids[:, :1] - 1) != 0).any(axis=0)).tolist()
-    out = [_compare(table.slice(a, b - a)) for a, b in zip(edge, [*edge[1:], table.num_rows], strict=True) if b - a > 1]
-    return pa.concat_tables(out) if out else _COMPARED.empty_table()
+def _each(rows: DataFrame, parts: int, of, schema: str, empty: pa.Schema) -> DataFrame:
+    """``of`` applied to the rows of each bucket and pair of its blocks; many of them in a task."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("node", "ascending"), ("low", "ascending"), ("high", "ascending"), ("key", "ascending")]).combine_chunks()
+        ids = np.stack([table.column(c).to_numpy() for c in ("node", "low", "high")])
+        edge = np.flatnonzero((np.diff(ids, axis=1, prepend=ids[:, :1] - 1) != 0).any(axis=0)).tolist()
+        out = [of(table.slice(a, b - a)) for a, b in zip(edge, [*edge[1:], table.num_rows], strict=True) if b - a > 1]
+        return pa.concat_tables(out) if out else empty.empty_table()
+
+    return rows.withColumn("part", F.pmod(F.xxhash64("node", "low", "high"), F.lit(max(1, parts))).cast("int")).groupBy("part").applyInArrow(run, schema)
+
+
+_CANDIDATE = pa.schema([("node", pa.int64()), ("key", pa.binary()), ("block", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
@@ -251,8 +286,14 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
     classes = written(members.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("signature").alias("signature"), F.first("nodes").alias("nodes")))
     buckets = _buckets(classes)
 
-    own = buckets.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("buckets"))
-    wanted = own.join(classes.select("key", "n", "rep"), "key").select("key", "n", "buckets", "rep.doc_id", "rep.th")
+    own = written(buckets.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("buckets")))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = buckets.join(own.join(classes.select("key", "signature"), "key"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", "key", "buckets", "signature", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    total = buckets.select(F.sum(blocks)).first()[0] or 0
+    near = written(_each(rows, math.ceil(total / 1024), _candidates, "node long, key binary, block int, low int, high int", _CANDIDATE))
+    wanted = near.select("key").distinct().join(classes.select("key", "n", "rep"), "key").join(own, "key").select("key", "n", "buckets", "rep.doc_id", "rep.th")
 
     def with_sets(batches):
         for b in batches:
@@ -264,21 +305,15 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
     d, w = docs.alias("d"), wanted.alias("w")
     found = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("key", "n", "buckets", "text")
     sets = found.mapInArrow(with_sets, "key binary, n long, buckets array<long>, shingles binary").dropDuplicates(["key"])
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = buckets.join(sets, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "key", "n", "buckets", "shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    total = buckets.select(F.sum(blocks)).first()[0] or 0
-    parts = max(1, math.ceil(total / 512))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "low", "high"), F.lit(parts)).cast("int"))
-    links = written(rows.groupBy("part").applyInArrow(_compare_all, "key binary, centre binary, links long, texts long"))
+    rows = near.join(sets, "key").select("node", "key", "n", "buckets", "shingles", "block", "low", "high")
+    links = written(_each(rows, math.ceil(near.count() / 256), _compare, "key binary, centre binary, links long, texts long", _COMPARED))
 
     group = components(links.select(F.col("key").alias("a"), F.col("centre").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     first = group.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
     linked = group.join(first, "component").select(F.col("node").alias("key"), "first")
     per_key = classes.select("key", "n", "rep").join(counts, "key", "left").join(linked, "key", "left").select("key", "n", F.coalesce("first", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
-    out = members.select("doc_id", "th", "key").join(per_key, "key", "left")
+    out = members.select("doc_id", "th", "key").join(written(per_key), "key", "left")
     return out.select(
         "doc_id",
         "th",
