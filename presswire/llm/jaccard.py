@@ -28,11 +28,12 @@ NUMERATOR, DENOMINATOR = 4, 5
 COORDINATES = 64
 #: Coordinates that a bucket picks.
 BRANCHES = 2
-RECALL = 0.99999
+RECALL = 0.9999
 #: Buckets of so many sets or fewer are compared by brute force; larger ones are split at most so often.
-SMALL, LEVELS = 64, 8
-#: A child with over this share of its parent's sets is of alike sets, which splitting won't part.
-ALIKE = 0.5
+SMALL, LEVELS = 256, 8
+#: Sets that agree with one of their bucket in this share of coordinates on average, as far as
+#: PROBED of them show, are alike, and splitting won't part them.
+ALIKE, PROBED = 0.5, 16
 #: Coordinates in which signatures must agree for a pair to be compared: a pair at the threshold,
 #: which agrees in 51 on average, agrees in fewer with a probability of about 1e-6.
 AGREE = 35
@@ -55,7 +56,7 @@ def runs_needed(recall: float = RECALL) -> int:
     s, q = NUMERATOR / DENOMINATOR, 1.0
     for _ in range(200):
         q = 1 - (1 - s * q) ** BRANCHES
-    return math.ceil(math.log(1 - recall) / math.log(1 - q)) + 1
+    return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[list[np.ndarray], np.ndarray]:
@@ -154,33 +155,38 @@ def _sets_of(df: DataFrame, runs: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """``node, key, parent``: rows of nodes with two sets or more, with their size."""
+    """``node, key``: rows of nodes with two sets or more, with their size."""
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return written(rows.join(sizes, "node"))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
     """``node, key, size`` of the buckets to compare."""
-    n = classes.count()
-    level = _shared(classes.select(F.explode("nodes").alias("node"), "key", F.lit(float(n)).alias("parent")))
-    done = (F.col("size") <= SMALL) | (F.col("size") > ALIKE * F.col("parent"))
-    leaves = level.where(done)
+    level = _shared(classes.select(F.explode("nodes").alias("node"), "key"))
+    leaves = level.where(F.col("size") <= SMALL)
 
     def split(batches):
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             node = children(b.column("node").to_numpy().view(np.uint64), sig).view(np.int64)
             rep = pa.array(np.repeat(np.arange(len(node)), BRANCHES))
-            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), b.column("key").take(rep), b.column("parent").take(rep)], ["node", "key", "parent"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), b.column("key").take(rep)], ["node", "key"])
+
+    part = lambda c, i: F.substring(c, 4 * i + 1, 4)
+    agree = sum((part("signature", i) == part("probe", i)).cast("int") for i in range(PROBED)) / F.lit(PROBED)
 
     for _ in range(LEVELS):
-        large = level.where(~done)
+        large = level.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        fed = large.select("node", "key", F.col("size").cast("double").alias("parent")).join(classes.select("key", "signature"), "key").select("node", "key", "parent", "signature")
-        level = _shared(fed.mapInArrow(split, "node long, key binary, parent double"))
-        leaves = leaves.unionAll(level.where(done))
-    leaves = leaves.unionAll(level.where(~done))  # what is left after LEVELS is compared too
+        fed = written(large.join(classes.select("key", "signature"), "key"))
+        probe = written(fed.groupBy("node").agg(F.min(F.struct("key", "signature")).alias("m")).select("node", F.col("m.signature").alias("probe")))
+        alike = written(fed.join(probe, "node").groupBy("node").agg(F.avg(agree).alias("share")).where(F.col("share") >= ALIKE).select("node"))
+        leaves = leaves.unionAll(fed.join(alike, "node", "left_semi").select(*level.columns))
+        level = _shared(fed.join(alike, "node", "left_anti").select("node", "key", "signature").mapInArrow(split, "node long, key binary"))
+        leaves = leaves.unionAll(level.where(F.col("size") <= SMALL))
+    else:
+        leaves = leaves.unionAll(level.where(F.col("size") > SMALL))  # what is left after LEVELS is compared too
     leaves = leaves.select("node", "key", "size")
     # Buckets of equal members do the same work: the first of them does it.
     same = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "key")).alias("x"))
@@ -292,7 +298,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", "key", "buckets", "signature", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     total = buckets.select(F.sum(blocks)).first()[0] or 0
-    near = written(_each(rows, math.ceil(total / 1024), _candidates, "node long, key binary, block int, low int, high int", _CANDIDATE))
+    near = written(_each(rows, math.ceil(total / 512), _candidates, "node long, key binary, block int, low int, high int", _CANDIDATE))
     wanted = near.select("key").distinct().join(classes.select("key", "n", "rep"), "key").join(own, "key").select("key", "n", "buckets", "rep.doc_id", "rep.th")
 
     def with_sets(batches):
