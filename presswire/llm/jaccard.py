@@ -155,7 +155,7 @@ def _sets_of(df: DataFrame, runs: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """``node, key``: rows of nodes with two sets or more, with their size."""
+    """The rows of nodes with two sets or more, with their ``size``."""
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return written(rows.join(sizes, "node"))
 
@@ -170,23 +170,22 @@ def _buckets(classes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             node = children(b.column("node").to_numpy().view(np.uint64), sig).view(np.int64)
             rep = pa.array(np.repeat(np.arange(len(node)), BRANCHES))
-            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), b.column("key").take(rep)], ["node", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), b.column("key").take(rep), b.column("signature").take(rep)], ["node", "key", "signature"])
 
     part = lambda c, i: F.substring(c, 4 * i + 1, 4)
     agree = sum((part("signature", i) == part("probe", i)).cast("int") for i in range(PROBED)) / F.lit(PROBED)
 
+    large = written(level.where(F.col("size") > SMALL).join(classes.select("key", "signature"), "key"))
     for _ in range(LEVELS):
-        large = level.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        fed = written(large.join(classes.select("key", "signature"), "key"))
-        probe = written(fed.groupBy("node").agg(F.min(F.struct("key", "signature")).alias("m")).select("node", F.col("m.signature").alias("probe")))
-        alike = written(fed.join(probe, "node").groupBy("node").agg(F.avg(agree).alias("share")).where(F.col("share") >= ALIKE).select("node"))
-        leaves = leaves.unionAll(fed.join(alike, "node", "left_semi").select(*level.columns))
-        level = _shared(fed.join(alike, "node", "left_anti").select("node", "key", "signature").mapInArrow(split, "node long, key binary"))
-        leaves = leaves.unionAll(level.where(F.col("size") <= SMALL))
-    else:
-        leaves = leaves.unionAll(level.where(F.col("size") > SMALL))  # what is left after LEVELS is compared too
+        probe = written(large.groupBy("node").agg(F.min(F.struct("key", "signature")).alias("m")).select("node", F.col("m.signature").alias("probe")))
+        alike = written(large.join(probe, "node").groupBy("node").agg(F.avg(agree).alias("share")).where(F.col("share") >= ALIKE).select("node"))
+        leaves = leaves.unionAll(large.join(alike, "node", "left_semi").select(*leaves.columns))
+        level = _shared(large.join(alike, "node", "left_anti").select("node", "key", "signature").mapInArrow(split, "node long, key binary, signature binary"))
+        leaves = leaves.unionAll(level.where(F.col("size") <= SMALL).select(*leaves.columns))
+        large = level.where(F.col("size") > SMALL)
+    leaves = leaves.unionAll(large.select(*leaves.columns))  # what is left after LEVELS is compared too
     leaves = leaves.select("node", "key", "size")
     # Buckets of equal members do the same work: the first of them does it.
     same = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "key")).alias("x"))
