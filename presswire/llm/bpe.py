@@ -98,6 +98,8 @@ class PrefixBPE:
 
     def encode_many(self, words: list[bytes]) -> list[list[int]]:
         """Encode many pieces at once: the prefixes of one length of all pieces in each step."""
+        if not words:
+            return []
         size = np.fromiter(map(len, words), np.int64, len(words))
         long = [i for i, n in enumerate(size) if n > 64]
         data = np.frombuffer(b"".join(words), np.uint8)

@@ -210,8 +210,8 @@ def _candidates(table: pa.Table) -> pa.Table:
 
 def _first_time(table: pa.Table, linked: np.ndarray) -> np.ndarray:
     """Links between the blocks that meet here and not in a bucket of a smaller number."""
-    block = table.column("block").to_numpy()
-    if (block != block[0]).any():
+    if table.column("low")[0] != table.column("high")[0]:
+        block = table.column("block").to_numpy()
         linked = linked & (block[:, None] != block[None, :])
     if linked.any() and (seen := seen_before(table.column("buckets").to_pylist(), table.column("node")[0].as_py())) is not None:
         linked = linked & ~seen

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,15 +22,15 @@ from .common import only, text_hash
 
 THRESHOLD = 0.3
 #: Labelled documents that the model is fitted on at most, drawn by a hash of their id.
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 #: Features that the model has at most.
-MAX_FEATURES = 4_000
+MAX_FEATURES = 1_500
 BITS = 20
 MIN_ASSOCIATION = 15.0  # G statistic of a feature with the label
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
-#: Words that a Python worker remembers with their scores.
-REMEMBERED = 400_000
+#: Words that a Python worker remembers with their scores, and words that fitting remembers.
+REMEMBERED, FITTING = 250_000, 120_000
 
 
 def grams(word: str) -> set[str]:
@@ -94,43 +95,52 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
 
     def of(word: str) -> np.ndarray:
         if (f := ids.get(word)) is None:
-            if len(ids) > REMEMBERED:
+            if len(ids) > FITTING:
                 ids.clear()
             f = ids[word] = np.unique(np.array(features(word), np.int32))
         return f
 
-    with_, without = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    with_, without = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)  # counts
     for t, label in zip(texts, y, strict=True):
         words = set(WORD.findall(t.lower()))
         if words:
             f = np.unique(np.concatenate([of(w) for w in words]))
             (with_ if label else without)[f] += 1
     n, base = len(y), float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
-    df = with_ + without
-    share = np.clip(with_ / np.maximum(df, 1), 1e-9, 1 - 1e-9)
+    often = np.flatnonzero(with_ + without >= 3)
+    with_, without = with_[often].astype(np.float64), without[often].astype(np.float64)
+    share = np.clip(with_ / (with_ + without), 1e-9, 1 - 1e-9)
     g = 2 * (with_ * np.log(share / base) + without * np.log((1 - share) / (1 - base)))
-    g[(share < 3 * base) & (share < 0.5) | (share <= base) | (df < 3) | (g < MIN_ASSOCIATION)] = 0
+    g[(share < 3 * base) & (share < 0.5) | (share <= base) | (g < MIN_ASSOCIATION)] = 0
     chosen = np.argsort(-g, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[g[chosen] > 0]
+    chosen = often[chosen[g[chosen] > 0]]
     index = {int(f): i for i, f in enumerate(chosen)}
 
-    picked: dict[str, list[int]] = {}
+    ids.clear()
+    del with_, without, g, share, often
+    picked: dict[str, tuple[int, ...]] = {}
+    named: dict[str, int] = {}
 
-    def evidence(word: str) -> list[int]:
+    def evidence(word: str) -> tuple[int, ...]:
         if (own := picked.get(word)) is None:
-            if len(picked) > REMEMBERED:
+            if len(picked) > FITTING:
                 picked.clear()
-            own = picked[word] = [i for f in of(word).tolist() if (i := index.get(f)) is not None]
+            at = {}
+            for g in grams(word):
+                if (i := index.get(zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))) is not None:
+                    at[i] = g
+                    named[g] = i
+            own = picked[word] = tuple(sorted(at))
         return own
 
-    rows_doc, plain, cell_row, cell_f = [], np.zeros(n), [], []
+    rows_doc, plain, cell_row, cell_f = array("q"), np.zeros(n), array("q"), array("q")
     for d, t in enumerate(texts):
         k = 0
         for m in SENTENCE.finditer(t):
             own = [i for w in WORD.findall(m[0].lower()) for i in evidence(w)]
             if own:
-                cell_row += [len(rows_doc)] * len(own)
-                cell_f += own
+                cell_row.extend([len(rows_doc)] * len(own))
+                cell_f.extend(own)
                 rows_doc.append(d)
             else:
                 k += 1
@@ -138,6 +148,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
     rows_doc, cell_row, cell_f = (np.array(a, np.int64) for a in (rows_doc, cell_row, cell_f))
 
     w, b = np.zeros(len(index)), float(np.log(base / max(plain.mean() if n else 1, 1)))
+    picked.clear()
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1 if n else 1):
         z = b + np.bincount(cell_row, w[cell_f], len(rows_doc))
@@ -150,11 +161,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, b = w + move[:-1], b + move[-1]
-    weights = {}
-    for word, own in picked.items():
-        for g in grams(word) if own else ():
-            if (i := index.get(zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))) is not None and abs(w[i]) > 1e-6:
-                weights[g] = float(w[i])
+    weights = {g: float(w[i]) for g, i in named.items() if abs(w[i]) > 1e-6}
     return Model(float(b), weights)
 
 

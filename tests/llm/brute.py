@@ -132,9 +132,9 @@ def cost(capacity):
     return 64.0 + capacity + capacity * capacity / 65536.0
 
 
-def least_cost(tokens):
-    """A bound from below for the cost of sequences that hold ``tokens`` tokens."""
-    return tokens * min(cost(c) / c for c in (1024, 2048, 4096, 8192))
+def least_cost(lengths):
+    """A bound from below: a piece of n tokens lies in a sequence of n or more."""
+    return sum(n * min(cost(c) / c for c in (1024, 2048, 4096, 8192) if c >= n) for n in lengths)
 
 
 def entropy(ids):
