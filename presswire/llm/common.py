@@ -40,6 +40,16 @@ def dropping(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> Dat
     return df.drop(*[c for c in df.columns if c.lower() in lower])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` is named so in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under the names wanted: other columns cannot clash."""
     return df.select(*[df[c].alias(k) for k, c in columns.items()])

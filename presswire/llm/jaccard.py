@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Substrings, mix, only, pieces, text_hash, utf8, written
+from .common import Substrings, mix, only, pieces, text_hash, unused, utf8, written
 from .components import components, seen_before, stars
 
 WORDS = 5
@@ -333,10 +333,11 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
 def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each class of :func:`join` the first
     document stays, and of repeated rows of it one."""
-    first = join(df, doc_id, text, recall).where("is_first").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    own = df.withColumn("__text", text_hash(text))
-    kept = own.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__text"]).drop("__text")
+    own_id, own_text, th = unused(df, "id", "own_text", "th")
+    first = join(df, doc_id, text, recall).where("is_first").select(F.col("doc_id").alias(own_id), F.col("th").alias(th)).distinct()
+    own = df.withColumn(own_text, text_hash(text))
+    kept = own.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(th)), "left_semi")
+    return kept.dropDuplicates([doc_id, own_text]).drop(own_text)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

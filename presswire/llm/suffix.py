@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Substrings, mix, pieces, text_hash, utf8, written
+from .common import Substrings, mix, pieces, text_hash, unused, utf8, written
 
 LENGTH, GRAM = 200, 40
 CHUNK, SEGMENT = 1 << 20, 1 << 23
@@ -160,9 +160,9 @@ def equal_windows(snippets: list[bytes], windows: list[int], length: int = LENGT
     return owner[order], offset[order], np.cumsum(new) - 1
 
 
-def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _keyed(df: DataFrame, doc_id: str, text: str, did: str = "did", th: str = "th") -> DataFrame:
     """A document's identity: two hashes. Rows with the same id and text are the same."""
-    return df.withColumn("did", F.xxhash64(F.col(doc_id), F.col(doc_id).isNull())).withColumn("th", text_hash(text))
+    return df.withColumn(did, F.xxhash64(F.col(doc_id), F.col(doc_id).isNull())).withColumn(th, text_hash(text))
 
 
 _ANCHORS = "did long, th long, p int, more int, lead int, anchor long, around long"
@@ -317,14 +317,15 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
 
 def strip(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``df`` with the repeated passages gone from ``text``. A character stays if only some of its
-    bytes are to go. A null text stays null; texts of which nothing is left are empty."""
-    names = df.columns
-    docs = _keyed(df, doc_id, text)
+    bytes are to go. A null text stays null; texts of which nothing is left are empty. Other
+    columns stay as they are, whatever their names."""
+    names, (did, th, gone) = df.columns, unused(df, "did", "th", "spans")
+    docs = _keyed(df, doc_id, text, did, th)
 
     def apply(batches):
         for b in batches:
             out = []
-            for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for t, s in zip(b.column(text).to_pylist(), b.column(gone).to_pylist(), strict=True):
                 if t and s:
                     data, cut = t.encode(), []
                     for first, past in merged(s):
@@ -338,8 +339,8 @@ def strip(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
             columns = [pa.array(out, b.schema.field(c).type) if c == text else b.column(b.schema.names.index(c)) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    found = spans(docs.select("did", "th", F.col(text).alias("text")), length)
-    return docs.join(found, ["did", "th"], "left").select(*names, "spans").mapInArrow(apply, df.schema)
+    found = spans(docs.select(F.col(did).alias("did"), F.col(th).alias("th"), F.col(text).alias("text")), length).toDF(did, th, gone)
+    return docs.join(found, [did, th], "left").select(*[f"`{c}`" for c in names], gone).mapInArrow(apply, df.schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

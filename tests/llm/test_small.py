@@ -259,6 +259,25 @@ def test_toxicity(spark):
     assert zlib.crc32(b"2") % 4 == zlib.crc32(str(2).encode()) % 4
 
 
+def test_clashing_names(spark):
+    """What returns the input's columns leaves them as they are, whatever their names."""
+    names = ["th", "DID", "spans", "id", "own_text", "signature", "offending", "kept"]
+    first, other = prose(60, "c"), prose(50, "d")
+    given = [(1, first), (2, "start " + first), (3, other), (3, other), (4, None), (4, None), (None, "")]
+    df = spark.createDataFrame([(*x, *[f"{n}{i}" for n in names]) for i, x in enumerate(given)], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    whole = {tuple(r)[2:] for r in df.collect()}
+    stripped = suffix.strip(df)
+    assert stripped.columns == df.columns and {tuple(r)[2:] for r in stripped.collect()} == whole
+    same(rows(stripped, "doc_id", "text"), [(1, ""), (2, "start "), (3, ""), (3, ""), (4, None), (4, None), (None, "")])
+    kept = jaccard.keep(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted((r.doc_id or 0 for r in got)) == [0, 1, 3, 4] and {tuple(r)[2:] for r in got} < whole
+    model = toxicity.Model(-5.0, {"^vile$": 9.0})
+    for out in (quality.keep(df), toxicity.keep(df, model)):
+        assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} <= whole
+
+
 def test_registered():
     import __spark_entry__ as entry
 
