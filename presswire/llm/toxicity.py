@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; a sentence's score is a logistic function of its words'
-character n-grams, and the document's is the noisy-or of its sentences: it is toxic unless all
-of them are clean. Only documents have labels, and their likelihood trains the sentence scores.
-The same scores then locate the offending sentences.
+character n-grams, and the document's is the leaky noisy-or of its sentences: it is toxic unless
+all of them and the leak, one chance for each document whatever its length, are clean. A sentence
+without any evidence adds nothing. Only documents have labels, and their likelihood trains the
+sentence scores. The same scores then locate the offending sentences.
 """
 
 from __future__ import annotations
@@ -61,26 +62,24 @@ class _Scores(dict):
 
 @dataclass
 class Model:
+    leak: float  # log odds
     bias: float
     weights: dict[str, float]
 
     def scorer(self):
         """text to its score and its sentences with evidence: (start, end, score)."""
-        of, clean = _Scores(self.weights), -np.logaddexp(0, self.bias)  # log of 1 - p of a sentence without evidence
+        of, clean = _Scores(self.weights), -np.logaddexp(0, self.leak)
 
         def score(text: str) -> tuple[float, list[tuple[int, int, float]]]:
             if not any(map(of.__getitem__, set(WORD.findall(text.lower())))):
-                n = max(1, sum(1 for _ in SENTENCE.finditer(text)))
-                return float(-np.expm1(n * clean)), []
-            log_clean, found = 0.0, []
+                return float(-np.expm1(clean)), []
+            log_clean, found = clean, []
             for m in SENTENCE.finditer(text):
                 s = sum(map(of.__getitem__, WORD.findall(m[0].lower())))
                 if s:
                     one = -np.logaddexp(0, self.bias + s)
                     found.append((m.start(), m.end(), float(-np.expm1(one))))
                     log_clean += one
-                else:
-                    log_clean += clean
             return float(-np.expm1(log_clean)), found
 
         return score
@@ -88,8 +87,8 @@ class Model:
 
 def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1, penalty: float = 2e-4) -> Model:
     """Maximum likelihood of document labels under the noisy-or, by Adam. Features are those
-    associated with the label; without any, or without both labels, every sentence gets one
-    score that fits the share of toxic documents."""
+    associated with the label; without any, or without both labels, the leak alone fits the share
+    of toxic documents."""
     y = np.asarray(toxic, np.float64)
     ids: dict[str, np.ndarray] = {}
 
@@ -133,36 +132,33 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
             own = picked[word] = tuple(sorted(at))
         return own
 
-    rows_doc, plain, cell_row, cell_f = array("q"), np.zeros(n), array("q"), array("q")
+    rows_doc, cell_row, cell_f = array("q"), array("q"), array("q")
     for d, t in enumerate(texts):
-        k = 0
         for m in SENTENCE.finditer(t):
             own = [i for w in WORD.findall(m[0].lower()) for i in evidence(w)]
             if own:
                 cell_row.extend([len(rows_doc)] * len(own))
                 cell_f.extend(own)
                 rows_doc.append(d)
-            else:
-                k += 1
-        plain[d] = k if k or (rows_doc and rows_doc[-1] == d) else 1
     rows_doc, cell_row, cell_f = (np.array(a, np.int64) for a in (rows_doc, cell_row, cell_f))
 
-    w, b = np.zeros(len(index)), float(np.log(base / max(plain.mean() if n else 1, 1)))
+    w, b = np.zeros(len(index)), float(np.log(base / max(1, len(rows_doc) / max(n, 1))))
+    leak = float(np.log(base / (1 - base)))
     picked.clear()
-    m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    m1, m2 = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     for step in range(1, steps + 1 if n else 1):
         z = b + np.bincount(cell_row, w[cell_f], len(rows_doc))
-        p, p0 = np.exp(-np.logaddexp(0, -z)), np.exp(-np.logaddexp(0, -b))
-        log_clean = -plain * np.logaddexp(0, b) - np.bincount(rows_doc, np.logaddexp(0, z), n)
+        p, p0 = np.exp(-np.logaddexp(0, -z)), np.exp(-np.logaddexp(0, -leak))
+        log_clean = -np.logaddexp(0, leak) - np.bincount(rows_doc, np.logaddexp(0, z), n)
         clean = np.exp(np.minimum(log_clean, -1e-9))
         up = np.where(y > 0, clean / (1 - clean), -1.0)  # d loglik / d (-log_clean)
         grow = up[rows_doc] * p
-        grad = np.append(np.bincount(cell_f, grow[cell_row], len(w)) / n - penalty * w, (grow.sum() + (up * plain).sum() * p0) / n)
+        grad = np.append(np.bincount(cell_f, grow[cell_row], len(w)) / n - penalty * w, [grow.sum() / n, up.sum() * p0 / n])
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-        w, b = w + move[:-1], b + move[-1]
+        w, b, leak = w + move[:-2], b + move[-2], leak + move[-1]
     weights = {g: float(w[i]) for g, i in named.items() if abs(w[i]) > 1e-6}
-    return Model(float(b), weights)
+    return Model(float(leak), float(b), weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -183,8 +179,8 @@ def held_out(column: str):
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, n_offending, offending`` for every whole text, in one pass without a
     shuffle; ``offending`` lists (start, end, score) of the sentences that score THRESHOLD or
-    more. Null and empty texts score as one sentence without evidence. Rows are scored one by
-    one; ids may be null or repeat. Other columns are ignored."""
+    more. Texts without evidence, null and empty ones too, score what the leak alone gives. Rows
+    are scored one by one; ids may be null or repeat. Other columns are ignored."""
     kind = docs.schema[doc_id].dataType.simpleString()
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 

@@ -273,11 +273,20 @@ def test_clashing_names(spark):
     assert kept.columns == df.columns
     got = kept.collect()
     assert sorted((r.doc_id or 0 for r in got)) == [0, 1, 3, 4] and {tuple(r)[2:] for r in got} < whole
-    model = toxicity.Model(-5.0, {"^vile$": 9.0})
+    model = toxicity.Model(-5.0, -5.0, {"^vile$": 9.0})
     for out in (quality.keep(df), toxicity.keep(df, model)):
         assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} <= whole
 
 
+def test_toxicity_of_long_texts():
+    """Sentences without evidence add nothing, however many; one with evidence counts wherever it is."""
+    score = toxicity.Model(-8.0, -6.0, {"^vile$": 9.0}).scorer()
+    long = "A plain sentence stands here.\n" * 100_000
+    assert score(long) == score("") == score("One sentence.") and score("")[0] < 0.001
+    value, found = score(long + "That is vile.")
+    assert value > 0.9 and [(a, b) for a, b, _ in found] == [(len(long), len(long) + 13)]
+
+
 def test_registered():
     import __spark_entry__ as entry
 
