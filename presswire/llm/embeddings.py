@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, written
-from .components import components, seen_before, stars
+from .components import components
 
 COSINE = 0.9
 #: Vectors that the cells are fitted on at most, and rounds of k-means.
 SAMPLE, ROUNDS = 32_768, 8
-#: A cell for so many vectors, and at most so many cells; vectors go to their PROBES nearest cells.
-PER_CELL, MAX_CELLS, PROBES = 256, 4096, 6
-#: Vectors in a block; larger cells are compared block against block.
-BLOCK = 512
+#: A centre for so many vectors, and at most so many centres.
+PER_CELL, MAX_CELLS = 4096, 4096
+#: Vectors in a block; larger cells are compared block against block, so many rows at a time.
+BLOCK, TILE = 8192, 512
 
 
 def normalised(x: np.ndarray | None) -> np.ndarray | None:
@@ -48,24 +48,60 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11
 
 
 def _compare(table: pa.Table, threshold: float) -> pa.Table:
-    """Links inside one cell or between two of its blocks, each counted in the pair's first cell."""
+    """Links inside one block or between two blocks of a cell."""
     keys = table.column("key").to_pylist()
     x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(keys), -1)
     weight, block = table.column("n").to_numpy(), table.column("block").to_numpy()
-    linked = x @ x.T >= threshold
-    linked[np.diag_indices(len(keys))] = False
-    if table.column("low")[0] != table.column("high")[0]:
-        linked &= block[:, None] != block[None, :]
-    some = np.flatnonzero(linked.any(axis=1))
-    linked = linked[np.ix_(some, some)]
-    if len(some):
-        lists = table.column("cells").take(pa.array(some)).to_pylist()
-        if (seen := seen_before(lists, table.column("cell")[0].as_py())) is not None:
-            linked &= ~seen
-        still = linked.any(axis=1)
-        some, linked = some[still], linked[np.ix_(still, still)]
-    label = stars(linked) if len(some) else some
-    return pa.table({"key": pa.array([keys[i] for i in some], pa.binary()), "centre": pa.array([keys[some[i]] for i in label], pa.binary()), "links": pa.array(linked @ weight[some] if len(some) else [], pa.int64())})
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    label, links = np.arange(len(keys)), np.zeros(len(keys), np.int64)
+    for i in range(0, len(first), TILE):
+        p, q = first[i : i + TILE], first[i:] if low == high else second
+        linked = x[p] @ x[q].T >= threshold
+        if low == high:  # each pair once
+            linked = np.triu(linked, 1)
+        some, others = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        if not len(some):
+            continue
+        linked, p, q = linked[np.ix_(some, others)], p[some], q[others]
+        one = linked.astype(np.float64)
+        links[p] += (one @ weight[q]).astype(np.int64)
+        links[q] += (weight[p] @ one).astype(np.int64)
+        least, most = np.where(linked, label[q], len(keys)).min(axis=1), np.where(linked, label[q], -1).max(axis=1)
+        for r in np.flatnonzero((least != label[p]) | (most != label[p])):
+            group = np.unique(np.append(label[q[linked[r]]], label[p[r]]))
+            if len(group) > 1:
+                label[np.isin(label, group)] = group[0]
+    some = np.flatnonzero(links)
+    return pa.table({"key": pa.array([keys[i] for i in some], pa.binary()), "centre": pa.array([keys[label[i]] for i in some], pa.binary()), "links": pa.array(links[some], pa.int64())})
+
+
+def placed(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, list[list[int]]]:
+    """For unit vectors ``x`` and centres ``c`` each vector's cell and the cells that it visits.
+
+    A vector's centre is its nearest one; cell 2i has the vectors within the angle A of the
+    threshold from centre i, cell 2i + 1 the others. A vector visits every later cell that can
+    hold a partner. Two bounds rule cells out: the plane halfway between two centres is not
+    crossed within the angle A of a vector that is further from it than sin(A), and a vector
+    more than 2A from a centre has no partner within A of it. Both are exact (with a margin for
+    rounding), so every pair of partners meets, and in one cell only.
+    """
+    angle = math.acos(max(-1.0, min(1.0, threshold)))
+    # without a positive cosine the first bound does not hold
+    apart = math.sin(angle) * np.sqrt(np.maximum(0, (c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T)) if threshold > 0 else np.full((len(c), len(c)), np.inf)
+    cells, visits = np.empty(len(x), np.int64), []
+    for i in range(0, len(x), 1024):
+        near = x[i : i + 1024] @ c.T
+        own = np.argmax(near, axis=1)
+        best = near[np.arange(len(near)), own]
+        inner = np.arccos(np.clip(best, -1, 1)) <= angle
+        cells[i : i + 1024] = 2 * own + ~inner
+        later = np.arange(len(c)) > own[:, None]
+        outside = later & (best[:, None] - near <= apart[own] + 1e-6)
+        outside[np.flatnonzero(inner), own[inner]] = True
+        inside = later & outside & (np.arccos(np.clip(near, -1, 1)) <= 2 * angle + 1e-6)
+        visits += [np.flatnonzero(v).tolist() for v in np.stack([inside, outside], axis=2).reshape(len(near), -1)]
+    return cells, visits
 
 
 _COMPARED = pa.schema([("key", pa.binary()), ("centre", pa.binary()), ("links", pa.int64())])
@@ -76,10 +112,9 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", th
 
     Vectors are linked if their cosine, in double precision, is ``threshold`` or more. Equal unit
     vectors are one node, so copies are not expanded into pairs. Cells are fitted on a sample of at
-    most SAMPLE vectors; every vector goes to its PROBES nearest cells, and a pair is found if it
-    shares one. Null, empty, zero and non-finite vectors link with nothing and are kept;
-    vectors
-    of different lengths do not link. Ids may be null and repeat; a component is named by its smallest
+    most SAMPLE vectors; every vector visits all cells that can hold a partner, so every pair is
+    found. Null, empty, zero and non-finite vectors link with nothing and are kept; vectors of
+    different lengths do not link. Ids may be null and repeat; a component is named by its smallest
     id. Other columns are ignored.
     """
     kind = df.schema[vec_id].dataType.simpleString()
@@ -108,26 +143,29 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", th
         for b in batches:
             raw = b.column("vector").to_pylist()
             cells: list = [None] * len(raw)
+            visits: list = [[]] * len(raw)
             for size in {len(r) for r in raw}:
                 at = [i for i, r in enumerate(raw) if len(r) == size]
                 if size not in centres:  # no vector of this length is in the sample
                     for i in at:
-                        cells[i] = [-size]
+                        cells[i] = -size
                     continue
                 base, c = centres[size]
-                near = np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1) @ c.T
-                best = np.sort(np.argpartition(-near, min(PROBES, len(c)) - 1, axis=1)[:, :PROBES], axis=1) + base
-                for i, x in zip(at, best.tolist(), strict=True):
-                    cells[i] = x
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), b.column("vector"), pa.array(cells, pa.list_(pa.int32()))], ["key", "n", "vector", "cells"])
-
-    in_cells = written(nodes.select("key", "n", "vector").mapInArrow(assign, "key binary, n long, vector binary, cells array<int>"))
-    spread = in_cells.withColumn("cell", F.explode("cells"))
-    sizes = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = spread.join(sizes, "cell").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("cell", "key", "n", "vector", "cells", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+                own, more = placed(np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1), c, threshold)
+                for i, x, others in zip(at, own.tolist(), more, strict=True):
+                    cells[i], visits[i] = 2 * base + x, [2 * base + k for k in others]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), b.column("vector"), pa.array(cells, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["key", "n", "vector", "cell", "visits"])
+
+    in_cells = written(nodes.select("key", "n", "vector").mapInArrow(assign, "key binary, n long, vector binary, cell int, visits array<int>"))
+    residents = in_cells.select("cell", "key", "n", "vector", F.lit(False).alias("visitor"))
+    spread = residents.unionAll(in_cells.select(F.explode("visits").alias("cell"), "key", "n", "vector", F.lit(True).alias("visitor")))
+    blocks = lambda visitor: F.ceil(F.count_if(F.col("visitor") == visitor) / BLOCK).cast("int")
+    sizes = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), blocks(False).alias("own"), blocks(True).alias("visiting")).where("size > 1 and own > 0").drop("size")
+    # residents' blocks are numbered before visitors'; two visitors are not compared
+    block = F.when(F.col("visitor"), F.col("own") + F.pmod(F.xxhash64("key"), "visiting")).otherwise(F.pmod(F.xxhash64("key"), "own")).cast("int")
+    met = F.when(F.col("visitor"), F.col("own")).otherwise(F.col("own") + F.col("visiting"))
+    member = spread.join(sizes, "cell").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    member = member.select("cell", "key", "n", "vector", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _compare(table, threshold) if table.num_rows > 1 else _COMPARED.empty_table()

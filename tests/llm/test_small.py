@@ -234,6 +234,24 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.link(df.limit(0)).count() == 0
 
 
+def test_embeddings_hot_group(spark, monkeypatch):
+    """A third of the vectors lies in one group of near copies, over many cells and blocks."""
+    import numpy as np
+
+    monkeypatch.setattr(embeddings, "PER_CELL", 4)
+    monkeypatch.setattr(embeddings, "BLOCK", 100)
+    monkeypatch.setattr(embeddings, "TILE", 32, raising=False)
+    r = np.random.default_rng(4)
+    x = r.standard_normal((900, 64))
+    x[::3] = r.standard_normal(64) + 0.22 * x[::3]
+    x[1::30] = x[4::30] + 0.4 * r.standard_normal((30, 64))  # pairs near the threshold
+    rows_ = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    want = brute.cosine(rows_)
+    assert sum(w[1] > 250 for w in want) > 200
+    same(rows(embeddings.link(df), "vec_id", "n_links", "component_id", "kept"), want)
+
+
 def test_toxicity(spark):
     bad = ["grobnik", "grobnas", "velmort"]
     docs, labels = [], []
