@@ -2,7 +2,8 @@
 
 The automaton knows every run of words of every template. Streaming a file's words through it
 gives the matching statistics: at each word, the longest run ending there that some template
-has. Long maximal runs that follow each other in a template are chained into one covered span.
+has. The parts of these runs that a template has, at all of its places, are chained into one
+covered span where they follow each other in it.
 """
 
 from __future__ import annotations
@@ -61,34 +62,36 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """A generalised suffix automaton over word ids. ``ends`` has for each state the places
-    (template, end) of one occurrence in every template that contains it."""
+    """A generalised suffix automaton over word ids. ``place`` has for each state one place
+    (template, end) of its words, and ``where`` for each word all its places in all templates."""
 
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    place: list[tuple[int, int]] = field(default_factory=lambda: [(0, 0)])
+    templates: list[list[int]] = field(default_factory=list)
+    where: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
 
-    def _state(self, next_: dict[int, int], link: int, length: int) -> int:
+    def _state(self, next_: dict[int, int], link: int, length: int, place: tuple[int, int]) -> int:
         self.next.append(next_)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.place.append(place)
         return len(self.next) - 1
 
     def _split(self, p: int, q: int, word: int) -> int:
         """Make the part of state ``q`` that ``p`` reaches by ``word`` a state of its own."""
-        clone = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1)
+        clone = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1, self.place[q])
         while p != -1 and self.next[p].get(word) == q:
             self.next[p][word] = clone
             p = self.link[p]
         self.link[q] = clone
         return clone
 
-    def _extend(self, last: int, word: int) -> int:
+    def _extend(self, last: int, word: int, place: tuple[int, int]) -> int:
         if (q := self.next[last].get(word)) is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, word)
-        new, p = self._state({}, 0, self.length[last] + 1), last
+        new, p = self._state({}, 0, self.length[last] + 1, place), last
         while p != -1 and word not in self.next[p]:
             self.next[p][word] = new
             p = self.link[p]
@@ -97,17 +100,23 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
         return new
 
-    def add(self, template: int, words: list[int]) -> None:
-        last = 0
-        for w in words:
-            last = self._extend(last, w)
-        at = 0
+    def add(self, words: list[int]) -> None:
+        template, last = len(self.templates), 0
+        self.templates.append(words)
         for i, w in enumerate(words):
-            at = self.next[at][w]
-            s = at
-            while s > 0 and template not in self.ends[s]:  # suffixes occur there too
-                self.ends[s][template] = i + 1
-                s = self.link[s]
+            last = self._extend(last, w, (template, i + 1))
+            self.where.setdefault(w, []).append((template, i))
+
+    def parts(self, state: int, size: int) -> list[tuple[int, int, int, int]]:
+        """What templates have of the last ``size`` words of a state, longest at each place:
+        (template, first word, past the last, place of the first in the template)."""
+        template, end = self.place[state]
+        found, open_ = [], {}
+        for i, w in enumerate([*self.templates[template][end - size : end], None]):
+            here = {(t, at - i): open_.pop((t, at - i), i) for t, at in self.where.get(w, ())}
+            found += [(t, a, i, a + shift) for (t, shift), a in open_.items() if i - a >= min(MIN_MATCH, len(self.templates[t]))]
+            open_ = here
+        return found
 
 
 @dataclass
@@ -119,6 +128,7 @@ class Scanner:
     labels: list[str]
     sizes: list[int]
     phrases: dict[int, tuple[str, int]]
+    known: dict[tuple[int, int], list[tuple[int, int, int, int]]] = field(default_factory=dict)
 
     def runs(self, words: list[bytes]) -> tuple[list[tuple[int, int, int]], list[tuple[int, str]]]:
         """Maximal matches of two words or more, as (start, end, state), and the places of base
@@ -152,27 +162,61 @@ class Scanner:
         return runs, places
 
     def spans(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of long matches: (label, first word, past the last, covered share)."""
-        by_template: dict[int, list[tuple[int, int, int]]] = {}
+        """Chains of long matches: (label, first word, past the last, covered share). A chain goes
+        if another template's has all its words and more, or a larger share by the same words:
+        notices differ from others by a word."""
+        by_template: dict[int, dict[int, list[list[int]]]] = {}
         for a, b, s in runs:
-            for t, end in self.automaton.ends[s].items():
-                if b - a >= min(MIN_MATCH, self.sizes[t]):
-                    by_template.setdefault(t, []).append((a, b, end - (b - a)))
+            if (parts := self.known.get((s, b - a))) is None:
+                parts = self.known[s, b - a] = self.automaton.parts(s, b - a)
+            for t, first, end, at in parts:
+                same = by_template.setdefault(t, {}).setdefault(a + first - at, [])
+                if same and a + first <= same[-1][1]:  # runs overlap
+                    same[-1][1] = max(same[-1][1], a + end)
+                else:
+                    same.append([a + first, a + end, at])
         found = []
-        for t, parts in by_template.items():
-            parts.sort()
-            chain: list[tuple[int, int, int]] = []
-            for part in [*parts, None]:
-                if chain and (part is None or not (part[0] >= chain[-1][0] and part[0] - chain[-1][1] <= MAX_GAP and 0 < part[2] + part[1] - part[0] - (chain[-1][2] + chain[-1][1] - chain[-1][0]) and part[2] - (chain[-1][2] + chain[-1][1] - chain[-1][0]) <= MAX_GAP)):
-                    covered = set()
-                    for a, b, at in chain:
-                        covered.update(range(at, at + b - a))
-                    if len(covered) >= MIN_COVER * self.sizes[t]:
-                        found.append((self.labels[t], chain[0][0], chain[-1][1], len(covered) / self.sizes[t]))
-                    chain = []
-                if part:
-                    chain.append(part)
-        return found
+        for t, places in by_template.items():
+            for chain in self._chains(t, sorted((a, b, at) for x in places.values() for a, b, at in x)):
+                covered, words = set(), set()
+                for a, b, at in chain:
+                    covered.update(range(at, at + b - a))
+                    words.update(range(a, b))
+                if len(covered) >= MIN_COVER * self.sizes[t]:
+                    found.append((self.labels[t], chain[0][0], max(b for _, b, _ in chain), len(covered) / self.sizes[t], words))
+        by_word: dict[int, list[int]] = {}
+        for k, x in enumerate(found):
+            for w in x[4]:
+                by_word.setdefault(w, []).append(k)
+        return [x[:4] for x in found if not any(x[4] <= found[k][4] and (len(x[4]), x[3]) < (len(found[k][4]), found[k][3]) for k in by_word[x[1]])]
+
+    def _chains(self, t: int, parts: list[tuple[int, int, int]]):
+        """The chains of a template that cover most, each word of the text in one at most."""
+        best: list[int] = []
+        before: list[int] = []
+        for k, (a, b, at) in enumerate(parts):
+            most, prev = b - a, -1
+            for i in range(k - 1, -1, -1):
+                pa, pb, pat = parts[i]
+                if a - pa > self.sizes[t] + MAX_GAP:
+                    break
+                gap = at - (pat + pb - pa)
+                if a - pb <= MAX_GAP and gap <= MAX_GAP and gap + b - a > 0 and (n := best[i] + min(b - a, gap + b - a)) > most:
+                    most, prev = n, i
+            best.append(most)
+            before.append(prev)
+        taken: set[int] = set()
+        for k in sorted(range(len(parts)), key=lambda k: -best[k]):
+            if best[k] < MIN_COVER * self.sizes[t]:
+                return
+            chain = []
+            while k >= 0:
+                chain.append(parts[k])
+                k = before[k]
+            words = range(chain[-1][0], max(b for _, b, _ in chain))
+            if taken.isdisjoint(words):
+                taken.update(words)
+                yield chain[::-1]
 
     def scan(self, text: str) -> dict:
         """Number of words, base places, and template spans of a text."""
@@ -188,13 +232,13 @@ def build(templates: dict[str, list[str]], phrases: dict[str, str] = PHRASES) ->
     for label, notices in templates.items():
         for notice in notices:
             ids = coded(notice)
-            automaton.add(len(labels), ids)
+            automaton.add(ids)
             labels.append(label)
             sizes.append(len(ids))
     base = []
     for phrase, label in phrases.items():
         ids = coded(phrase)
-        automaton.add(len(labels), ids)
+        automaton.add(ids)
         labels.append(label)
         sizes.append(len(ids))
         base.append((ids, label))

@@ -182,6 +182,22 @@ def test_automaton():
     assert any(x[0] == "apache-2.0" and x[3] > 0.9 for x in found)
 
 
+def test_licenses_inserted_word():
+    """Every notice is found whole, and with a word or a remark put in anywhere, whatever the order of templates."""
+    nc = "This work is licensed under a Creative Commons Attribution-NonCommercial (CC BY-NC) 4.0 International License"
+    for templates in (licenses.TEMPLATES, dict(reversed(licenses.TEMPLATES.items()))):
+        s = licenses.build(templates)
+        labels = lambda text: {x[0] for x in s.scan(text)["spans"]} & set(licenses.TEMPLATES)  # noqa: E731, B023
+        assert labels(nc) == {"cc-by-nc-4.0"}
+        for label, notices in templates.items():
+            for notice in notices:
+                assert labels(notice) == labels(f"int x {notice} end") == {label}
+                words = [w.decode() for w in licenses.words_of(notice)]
+                for k in range(len(words) + 1):  # pieces of under MIN_MATCH words are not matches
+                    if sum(n for n in (k, len(words) - k) if n >= licenses.MIN_MATCH) >= licenses.MIN_COVER * len(words):
+                        assert label in labels(" ".join([*words[:k], "inserted", *words[k:]])), (label, k)
+
+
 def test_packing(docs):
     out = packing.pack(docs, capacities=(64, 256, 1024), group_pieces=20).collect()
     enc, want = brute.encoding(), Counter()
