@@ -32,11 +32,13 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
 #: Words that a Python worker remembers with their scores, and words that fitting remembers.
 REMEMBERED, FITTING = 250_000, 120_000
+#: Longer words (unspaced stretches) are not remembered but worked out each time.
+LONG = 40
 
 
 def grams(word: str) -> set[str]:
     """Features of a lower-cased word: itself, its beginnings, and its character n-grams (4, 5)."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     n = len(w)
     return {w, w[:4], w[:5], w[:6], w[:7], *[w[i : i + 4] for i in range(n - 3)], *[w[i : i + 5] for i in range(n - 4)]}
 
@@ -53,10 +55,12 @@ class _Scores(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > REMEMBERED:
-            self.clear()
         found = self.weights.keys() & grams(word)
-        s = self[word] = sum([self.weights[g] for g in sorted(found)]) if found else 0.0
+        s = sum([self.weights[g] for g in sorted(found)]) if found else 0.0
+        if len(word) <= LONG:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = s
         return s
 
 
@@ -94,9 +98,11 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
 
     def of(word: str) -> np.ndarray:
         if (f := ids.get(word)) is None:
-            if len(ids) > FITTING:
-                ids.clear()
-            f = ids[word] = np.unique(np.array(features(word), np.int32))
+            f = np.unique(np.array(features(word), np.int32))
+            if len(word) <= LONG:
+                if len(ids) > FITTING:
+                    ids.clear()
+                ids[word] = f
         return f
 
     with_, without = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)  # counts
@@ -122,14 +128,16 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 0.1,
 
     def evidence(word: str) -> tuple[int, ...]:
         if (own := picked.get(word)) is None:
-            if len(picked) > FITTING:
-                picked.clear()
             at = {}
             for g in grams(word):
                 if (i := index.get(zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))) is not None:
                     at[i] = g
                     named[g] = i
-            own = picked[word] = tuple(sorted(at))
+            own = tuple(sorted(at))
+            if len(word) <= LONG:
+                if len(picked) > FITTING:
+                    picked.clear()
+                picked[word] = own
         return own
 
     rows_doc, cell_row, cell_f = array("q"), array("q"), array("q")

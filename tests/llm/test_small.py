@@ -321,6 +321,16 @@ def test_toxicity_of_long_texts():
     assert value > 0.9 and [(a, b) for a, b, _ in found] == [(len(long), len(long) + 13)]
 
 
+def test_toxicity_of_unspaced_text():
+    """A toxic word counts wherever it stands in an unspaced stretch, in fitting and in scoring."""
+    r = random.Random(6)
+    plain = ["".join(r.choice("abcdeéßñ") for _ in range(80)) for _ in range(600)]
+    texts = [x[:60] + "grobnik" + x[60:] if i % 6 == 0 else x for i, x in enumerate(plain)]
+    score = toxicity.fit(texts, [int(i % 6 == 0) for i in range(600)]).scorer()
+    for x in plain[:20]:
+        assert score(x * 3)[0] < toxicity.THRESHOLD < score(x * 3 + "grobnik" + x)[0]
+
+
 def test_registered():
     import __spark_entry__ as entry
 
