@@ -12,25 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of the tables that operators of this process have written and not discarded.
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints. ``spark.checkpoint.dir`` names it on a cluster; a folder
-    of this machine is used only where the session names none (tests in local mode)."""
+    """The folder for checkpoints. ``spark.checkpoint.dir`` names it on a cluster, where a folder
+    of one machine would lose what the others write: without the setting this fails there. A
+    folder of this machine is used only in local mode, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="presswire-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="presswire-"))
     return sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: its lineage ends there, so
     a lost executor costs the tasks it ran and not what came before. Unlike ``checkpoint()``
-    it stores columns compressed."""
+    it stores columns compressed. The table stays until :func:`discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *more: str) -> None:
+    """Delete the tables that operators have written so far, and the paths ``more``. Results that
+    still read them must have been written or collected before."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in [*_tables, *more]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    _tables.clear()
+
+
 def dropping(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without columns named (in any case) like one of ``names``: an output column
     replaces an input column of its name. ``keep`` are columns that must not clash."""
