@@ -30,8 +30,8 @@ BANDS: dict[str, tuple[float, float, float, float]] = {
     "CJK": (0.3, 4.0, 0.60, 0.45),
     "": (0.3, 8.0, 0.60, 0.45),
 }
-#: Fertility and entropy say little about fewer tokens.
-MIN_TOKENS = 64
+#: Fertility and entropy say less about fewer tokens: their bands widen by 1 + (SLACK / tokens) ** 2.
+SLACK = 16
 
 
 @functools.lru_cache(1 << 16)
@@ -85,9 +85,11 @@ def fertility(text: str, encoding, known: frozenset[str]) -> tuple[str, int, flo
 
 
 def in_band(measured: tuple[str, int, float, float, float], bands=BANDS) -> bool:
+    """Is a text inside its script's band? One rule for every number of tokens."""
     main, n, per_token, fallback, entropy = measured
     low, high, most, least = bands[main]
-    return n > 0 and fallback <= most and (n < MIN_TOKENS or (low <= per_token <= high and entropy >= least))
+    wide = 1 + (SLACK / max(n, 1)) ** 2
+    return n > 0 and fallback <= most and low <= per_token * wide and per_token <= high * wide and least <= entropy * wide
 
 
 def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = MULTI, pieces: str = PIECES, bands=BANDS) -> DataFrame:
@@ -134,19 +136,17 @@ def keep(df: DataFrame, text: str = "text", path: str = MULTI, pieces: str = PIE
     return df.mapInArrow(run, df.schema)
 
 
-def fit_bands(measured: DataFrame, low: float = 0.0005, high: float = 0.9995) -> DataFrame:
-    """Bands that a corpus itself suggests: quantiles of the measures of the texts that pass the
-    base rules, over all of them, for each script (a row for each; sketches are merged)."""
-    return (
-        measured.where(~F.col("base_failed"))
-        .groupBy("script")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("chars_per_token", [low, high], 10_000).alias("chars_per_token"),
-            F.percentile_approx("fallback_share", high, 10_000).alias("fallback_share"),
-            F.percentile_approx("token_entropy", low, 10_000).alias("token_entropy"),
-        )
+def fit_bands(measured: DataFrame, low: float = 0.0005, high: float = 0.9995, bands=BANDS) -> dict[str, tuple[float, float, float, float]]:
+    """Bands that a corpus itself suggests, for :func:`measure` and :func:`keep`: quantiles of the
+    measures over all texts that pass the base rules, for each script (sketches are merged, and
+    the driver gets a row for each script). Scripts that the corpus lacks keep their band."""
+    of = measured.where(~F.col("base_failed")).groupBy("script")
+    rows = of.agg(
+        F.percentile_approx("chars_per_token", [low, high], 10_000).alias("chars"),
+        F.percentile_approx("fallback_share", high, 10_000).alias("fallback"),
+        F.percentile_approx("token_entropy", low, 10_000).alias("entropy"),
     )
+    return {**bands, **{r.script: (*r.chars, r.fallback, r.entropy) for r in rows.collect()}}
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
