@@ -25,20 +25,55 @@ def cost(c: int) -> float:
     return PER_SEQUENCE + c + c * c / QUADRATIC
 
 
+def _filled(n: int, capacity: int, left: list[int], present: int) -> int:
+    """Tokens of a bin of ``capacity`` that opens for ``n`` tokens and is filled from the lengths
+    that are ``left`` (how many of each; the bits of ``present`` tell which), longest first."""
+    at, taken, last = n, 0, 0
+    while room := capacity - at:
+        fits = present & ((2 << room) - 1)
+        if not fits:
+            break
+        x = fits.bit_length() - 1
+        taken = taken + 1 if x == last else 1
+        last = x
+        if taken >= left[x]:  # no more of this length
+            present &= ~(1 << x)
+            at += x
+            continue
+        more = min(left[x] - taken, (room - x) // x)
+        taken += more
+        at += x * (1 + more)
+        if taken >= left[x]:
+            present &= ~(1 << x)
+    return at
+
+
 def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
     """Bin of each piece, its offset there, and the capacity of each bin.
 
     ``lengths`` come in falling order. A piece goes to the open bin with the least room that
-    still holds it. If there is none, a bin opens of the permitted size with the least cost for
-    each token that it can still get, given what is left to pack. At the end every bin shrinks to
-    the smallest permitted size that holds its contents.
+    still holds it. If there is none, a bin opens, and the permitted sizes are weighed together:
+    each is filled, longest first, with the lengths that are left to pack, and the one with the
+    least cost for each token that it would hold, at the size that it would shrink to, is opened.
+    At the end every bin shrinks to the smallest permitted size that holds its contents.
     """
     caps = sorted(capacities)
-    left = sum(lengths)
+    left = [0] * (caps[-1] + 1)
+    for n in lengths:
+        left[n] += 1
+    present = sum(1 << n for n in set(lengths))  # the lengths that are left
     room: dict[int, list[int]] = defaultdict(list)
     open_ = 0  # bit r is set if a bin has room for r tokens
     bins, offsets, used, size = [], [], [], []
+
+    def each(n: int, c: int) -> tuple[float, int]:
+        full = _filled(n, c, left, present)
+        return cost(next(x for x in caps if x >= full)) / full, c
+
     for n in lengths:
+        left[n] -= 1
+        if not left[n]:
+            present &= ~(1 << n)
         fits = open_ >> n
         if fits:
             r = n + (fits & -fits).bit_length() - 1
@@ -46,14 +81,13 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tu
             if not room[r]:
                 open_ &= ~(1 << r)
         else:
-            r = min((c for c in caps if c >= n), key=lambda c: (cost(c) / min(c, max(left, 1)), c))
+            r = min(each(n, c) for c in caps if c >= n)[1]
             b = len(used)
             used.append(0)
             size.append(r)
         bins.append(b)
         offsets.append(used[b])
         used[b] += n
-        left -= n
         if r > n:
             room[r - n].append(b)
             open_ |= 1 << (r - n)
@@ -80,8 +114,10 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities:
     capacity``. A document has its tokens (byte-level BPE) and one separator, so null and empty
     texts are pieces of one token. A document longer than the largest capacity is cut into pieces
     of that capacity and a rest; nothing is dropped. Repeated rows are packed as often as they
-    occur; ids may be null. Pieces are dealt evenly over groups of about ``group_pieces``, and each
-    group is packed by itself: a bin is ``(grp, bin)``. Other columns are ignored.
+    occur; ids may be null; pieces of equal length come in the order of id and text hash. An empty
+    table gives an empty result. Pieces are dealt evenly over groups of about ``group_pieces``, and
+    each group is packed by itself: a bin is ``(grp, bin)``. Other columns, whatever their names,
+    are ignored.
     """
     most = max(capacities)
     lengths = token_counts(only(df, doc_id=doc_id, text=text))
