@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_dedup": embeddings.op8,
     "op9_quality_rules": quality.op9,
     "op10_license_scan": licenses.op10,
+    "chat_transcripts": chat.chat_transcripts,
 }
 
-SQL: dict[str, str] = {"op6_chat_format": chat.OP6_SQL}
+SQL: dict[str, str] = {"op6_chat_format": chat.OP6_SQL, "chat_transcripts": chat.TRANSCRIPTS_SQL}
