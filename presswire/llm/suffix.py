@@ -1,38 +1,43 @@
 """Exact removal of repeated passages with two-stage suffix arrays.
 
 A byte goes if a string of LENGTH bytes that covers it starts anywhere else too. A suffix array of
-all texts would have to be in one place, so the work is dealt by content first:
+all texts would have to be in one place, so bytes are dealt to tasks by their content first, and
+every task sorts the suffixes of what it gets; which windows repeat is read off the common prefixes
+of neighbours in that order, and nowhere else.
 
 1. Every window of LENGTH bytes has an anchor, the GRAM-byte string in it with the smallest hash.
    Equal windows have equal anchors in equal places, so equal windows are among the windows of
-   equal anchors. The windows of an anchor are one run; its bytes are its surroundings.
-2. Anchors that occur once are done. If all occurrences of an anchor have the same surroundings, or
-   some have, all windows of these repeat. The others, at the ends of passages and near edits, are
-   open: one occurrence of each different surroundings goes on.
-3. Open surroundings with the same anchor meet in a task. It builds the suffix array of their bytes
-   in two stages and finds equal windows from adjacent common prefixes. An anchor with very many
-   different surroundings is dealt over several tasks; what these tasks do not find among their
-   own is then joined by hashes: first of the bytes that BLOCK windows have in common, and where
-   these occur again, of the windows.
+   equal anchors. The windows of an anchor are one run; its bytes are its surroundings. Anchors
+   that occur once are done.
+2. Occurrences with the same anchor and the same surroundings are alike: two of them are read back
+   from two texts (from one, if all are copies of one text), and what is found for them holds for
+   all. So copies never multiply the bytes to sort.
+3. All surroundings of an anchor meet in one task. It builds the suffix array of their bytes in two
+   stages: suffixes that are smaller than their successors are sorted directly, the others induced.
+   Windows whose neighbours have LENGTH bytes in common repeat.
+4. An anchor with more than SHARE different surroundings is dealt once more, by longer strings: the
+   bytes that BLOCKS[0] neighbouring windows have in common, in the place that they have to the
+   anchor, and if that is not enough by whole windows. Equal windows stay together at each level.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Substrings, mix, pieces, text_hash, unused, utf8, written
+from .common import Substrings, mix, only, pieces, text_hash, unused, utf8, written
 
 LENGTH, GRAM = 200, 40
 CHUNK, SEGMENT = 1 << 20, 1 << 23
-#: Different surroundings of one anchor that a task takes, and those of all anchors.
-SHARE, TOGETHER = 256, 1024
-#: Neighbouring windows that are looked up together across tasks.
-BLOCK = 8
+#: Different surroundings of one anchor that a task takes, and snippets that it takes of all anchors.
+SHARE, TOGETHER = 2048, 4096
+#: Neighbouring windows that are dealt together at the levels after the first.
+BLOCKS = (8, 1)
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -64,61 +69,78 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return first, last - first, at - first, grams[at], around
 
 
-def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """The suffixes of ``text`` in order of their first ``depth`` bytes, by two-stage sorting.
+def _words(text: np.ndarray, beyond: int) -> np.ndarray:
+    """The eight bytes from each place of ``text`` on, and of ``beyond`` zeros after it."""
+    padded = np.concatenate([text, np.zeros(beyond + 8, np.uint8)])
+    return np.ndarray(len(text) + beyond, "<u8", padded.data, strides=(1,))
+
+
+def suffix_array(text: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of ``text`` in order of their first ``depth`` bytes, by two-stage sorting; if
+    ``wanted`` marks places, only the suffixes there and those that induce them.
 
     Suffixes that are smaller than their successors are sorted directly. The others follow from
     them: the buckets of first bytes are scanned in order, and every suffix met puts the one that
     starts a byte earlier, if it is one of the others, next in the front of its own bucket.
     """
     n = len(text)
-    t = text.astype(np.int16)
-    step = np.append(np.diff(t), -1)  # the last suffix is larger than the empty one
-    change = np.where(step != 0, np.arange(n), n)
+    if not n:
+        return np.zeros(0, np.int64)
+    step = np.append(np.diff(text.astype(np.int16)), -1)  # the last suffix is larger than the empty one
+    place = np.arange(n)
+    change = np.where(step != 0, place, n)
     small = step[np.minimum.accumulate(change[::-1])[::-1]] > 0
+    if wanted is None:
+        used = np.ones(n, bool)
+    else:  # a suffix that is not small is induced by its successor: all up to the next small one
+        before = np.maximum.accumulate(np.where(small, place, -1))
+        before = np.append(-1, before[:-1])
+        asked = np.append(0, np.cumsum(wanted))
+        used = asked[1:] > asked[before + 1]
 
     # Stage one: direct sorting, by eight bytes at once and then what is tied by whole strings.
-    direct = np.flatnonzero(small)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(len(direct), np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[direct + k]
+    direct = np.flatnonzero(small & used)
+    words = _words(text, depth + 8)
+    word = words[direct].byteswap()
     order = np.argsort(word, kind="stable")
     direct, word = direct[order], word[order]
+    same = np.append(False, word[1:] == word[:-1]) if len(word) else np.zeros(0, bool)
+    unlike = np.flatnonzero(same)
+    unlike = unlike[_common(words, direct[unlike - 1], direct[unlike], depth) < depth]
+    group = np.cumsum(~same) - 1
+    tied = np.zeros(group[-1] + 1 if len(group) else 0, bool)
+    tied[group[unlike]] = True  # the others are equal to the depth
+    size = np.bincount(group, minlength=len(tied))
+    begin = np.cumsum(size) - size
     data = text.tobytes()
-    edge = np.flatnonzero(np.append(np.diff(word) != 0, True)) + 1 if len(word) else np.zeros(0, np.int64)
-    begin = np.concatenate([[0], edge[:-1]]) if len(edge) else edge
-    tied = edge - begin > 1
-    listed = direct.tolist()
-    for a, b in zip(begin[tied].tolist(), edge[tied].tolist(), strict=True):
-        group = listed[a:b]
-        group.sort(key=lambda i: data[i + 8 : i + depth])
-        listed[a:b] = group
-    direct = np.array(listed, np.int64)
+    for a, k in zip(begin[tied].tolist(), size[tied].tolist(), strict=True):
+        direct[a : a + k] = sorted(direct[a : a + k].tolist(), key=lambda i: data[i + 8 : i + depth])
 
     # Stage two: bucket scans.
-    sizes = np.bincount(text, minlength=256)
+    sizes = np.bincount(text[used], minlength=256)
     start = np.concatenate([[0], np.cumsum(sizes)])
     head = start[:-1].copy()
-    front = head + np.bincount(text[~small], minlength=256)
-    out = np.empty(n, np.int64)
+    front = head + np.bincount(text[used & ~small], minlength=256)
+    induced = used & ~small
+    out = np.empty(start[-1], np.int64)
     where = np.concatenate([[0], np.cumsum(np.bincount(text[direct], minlength=256))])
     for c in np.flatnonzero(sizes):
         out[front[c] : start[c + 1]] = direct[where[c] : where[c + 1]]
-    out[head[text[n - 1]]] = n - 1
-    head[text[n - 1]] += 1
+    if used[n - 1]:
+        out[head[text[n - 1]]] = n - 1
+        head[text[n - 1]] += 1
     for c in np.flatnonzero(sizes).tolist():
         at = start[c]
         while at < head[c]:  # suffixes of this bucket bring in others of it
             before = out[at : head[c]] - 1
             at = head[c]
             before = before[before >= 0]
-            before = before[(text[before] == c) & ~small[before]]
+            before = before[(text[before] == c) & induced[before]]
             out[at : at + len(before)] = before
             head[c] += len(before)
         before = out[start[c] : start[c + 1]] - 1
         before = before[before >= 0]
-        before = before[(text[before] > c) & ~small[before]]
+        before = before[(text[before] > c) & induced[before]]
         before = before[np.argsort(text[before], kind="stable")]
         first = text[before]
         edges = np.flatnonzero(np.diff(first, prepend=-1 if len(first) else 0, append=256 if len(first) else 0).astype(np.int32)) if len(first) else []
@@ -129,22 +151,26 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return out
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
-    """Lengths of the common prefixes of neighbours in ``order``, up to ``most``."""
-    padded = np.concatenate([text, np.zeros(most + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    a, b = order[:-1], order[1:]
-    out = np.zeros(len(a), np.int64)
+def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at ``a`` and ``b``, up to ``most``."""
+    out = np.full(len(a), most, np.int64)
     going = np.arange(len(a))
     for k in range(0, most, 8):
-        same = words[a[going] + k] == words[b[going] + k]
-        out[going] += np.where(same.all(axis=1), 8, np.argmin(same, axis=1))
-        going = going[same.all(axis=1)]
+        x = words[a + k] ^ words[b + k]
+        if (other := x != 0).any():
+            low = x[other] & (~x[other] + np.uint64(1))
+            out[going[other]] = k + (np.frexp(low.astype(np.float64))[1] - 1) // 8
+            a, b, going = a[~other], b[~other], going[~other]
         if not len(going):
             break
     return np.minimum(out, most)
 
 
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
+    """Lengths of the common prefixes of neighbours in ``order``, up to ``most``."""
+    return _common(_words(text, most + 8), order[:-1], order[1:], most)
+
+
 def equal_windows(snippets: list[bytes], windows: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of snippets: the snippet, the offset in it and the class of equal windows. A
     snippet has ``windows[i]`` windows; those of ``length`` bytes from its first bytes on."""
@@ -154,24 +180,27 @@ def equal_windows(snippets: list[bytes], windows: list[int], length: int = LENGT
     owner = np.repeat(np.arange(len(snippets)), sizes)
     offset = np.arange(len(text)) - begin[owner]
     valid = offset < np.array(windows, np.int64)[owner]
-    order = suffix_array(text, length)
+    order = suffix_array(text, length, valid)
     order = order[valid[order]]
     new = np.append(True, common_prefixes(text, order, length) < length)
     return owner[order], offset[order], np.cumsum(new) - 1
 
 
-def _keyed(df: DataFrame, doc_id: str, text: str, did: str = "did", th: str = "th") -> DataFrame:
-    """A document's identity: two hashes. Rows with the same id and text are the same."""
-    return df.withColumn(did, F.xxhash64(F.col(doc_id), F.col(doc_id).isNull())).withColumn(th, text_hash(text))
+def _keyed(df: DataFrame, text: str, ta: str = "ta", tb: str = "tb") -> DataFrame:
+    """A text's identity: two hashes. What goes from a text depends on the text alone."""
+    return df.withColumn(ta, text_hash(text)).withColumn(tb, F.xxhash64(F.lit(11), F.col(text)))
 
 
-_ANCHORS = "did long, th long, p int, more int, lead int, anchor long, around long"
+_SEEN = ["ta", "tb", "p", "more", "lead", "anchor", "around"]
+_SEEN_KINDS = "ta long, tb long, p int, more int, lead int, anchor long, around long"
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """The anchors of all windows of ``docs`` (ta, tb, text): a row for each run of windows."""
+
     def run(batches):
         for b in batches:
-            did, th = b.column("did").to_numpy(), b.column("th").to_numpy()
+            ta, tb = b.column("ta").to_numpy(), b.column("tb").to_numpy()
             data, offsets = utf8(b.column("text"))
             for i, j in pieces(offsets, CHUNK):
                 whole = data[offsets[i] : offsets[j]]
@@ -181,92 +210,109 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     first, more, lead, anchor, around = anchors(part, np.minimum(ends, len(part)) if j - i > 1 else np.array([len(part)]), length)
                     row = i + np.searchsorted(ends, first + s, "right")
                     p = first + s - (offsets[row] - offsets[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(th[row]), pa.array(p.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64))], ["did", "th", "p", "more", "lead", "anchor", "around"])
-
-    return docs.select("did", "th", "text").mapInArrow(run, _ANCHORS)
+                    yield pa.RecordBatch.from_arrays([pa.array(ta[row]), pa.array(tb[row]), pa.array(p.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64))], _SEEN)
 
+    return docs.select("ta", "tb", "text").mapInArrow(run, _SEEN_KINDS).withColumn("n", F.lit(1).cast("long"))
 
-_FOUND = "did long, th long, first int, past int, core long, windows array<struct<first:int,window:long>>"
-_WINDOWS = pa.list_(pa.struct([("first", pa.int32()), ("window", pa.int64())]))
 
+def _asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``text, asks``: the texts that ``asked`` (ta, tb, ask) wants something of, each once."""
+    texts = docs.groupBy("ta", "tb").agg(F.first("text").alias("text"))  # copies meet as one before the join
+    return texts.join(asked.groupBy("ta", "tb").agg(F.collect_list("ask").alias("asks")), ["ta", "tb"]).select("ta", "tb", "text", "asks")
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``did, th, spans``: the bytes to remove from each document of ``docs`` (did, th, text),
-    as unordered and possibly overlapping byte ranges (first, past). Documents without any are
-    left out."""
-    seen = _anchor_rows(docs, length)
-    dup = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("around") == F.max("around")).alias("alike")).where("n > 1").drop("n")
-    dup = written(dup)  # so that the join below deals both sides anew, and skewed keys can be split
-    met = written(seen.join(dup, "anchor"))
-    past = (F.col("p") + F.col("more") + length).cast("int").alias("past")
-    covered = met.where("alike").select("did", "th", F.col("p").alias("first"), past)
-
-    open_ = met.where(~F.col("alike"))
-    kinds = written(open_.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "p", "more", "lead")).alias("at")))
-    covered = covered.unionAll(open_.join(kinds.where("n > 1").select("anchor", "around"), ["anchor", "around"]).select("did", "th", F.col("p").alias("first"), past))
-
-    of_anchor = written(kinds.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")))
-    parts = max(1, math.ceil(kinds.count() / TOGETHER))
-    share = F.pmod(F.xxhash64("around"), F.col("shares")).cast("int")
-    asked = kinds.join(of_anchor, "anchor").select("at.did", "at.th", F.struct("at.p", "at.more", "at.lead", (F.col("n") > 1).alias("done"), (F.col("shares") > 1).alias("split"), F.pmod(F.xxhash64("anchor", share), F.lit(parts)).cast("int").alias("part"), "anchor", share.alias("share")).alias("ask"))
-    asked = asked.groupBy("did", "th").agg(F.collect_list("ask").alias("asks"))
 
+def _snippets(wanted: DataFrame, length: int) -> DataFrame:
     def cut(batches):
         for b in batches:
             rows = []
-            for did, th, text, asks in zip(*(b.column(c).to_pylist() for c in ("did", "th", "text", "asks")), strict=True):
+            for text, asks in zip(b.column("text").to_pylist(), b.column("asks").to_pylist(), strict=True):
                 data = (text or "").encode()
-                rows += [(did, th, a["p"], a["more"], a["lead"], a["done"], a["split"], a["part"], a["anchor"], a["share"], data[a["p"] : a["p"] + a["more"] + length]) for a in asks]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 11, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)],
-                ["did", "th", "p", "more", "lead", "done", "split", "part", "anchor", "share", "bytes"],
-            )
+                rows += [(a["part"], a["anchor"], a["around"], a["more"], a["weight"], a["main"], data[a["p"] : a["p"] + a["more"] + length]) for a in asks]
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "anchor", "around", "more", "weight", "main", "bytes"])
+
+    return wanted.mapInArrow(cut, "part int, anchor long, around long, more int, weight int, main boolean, bytes binary")
 
-    snippets = docs.select("did", "th", "text").join(asked, ["did", "th"]).mapInArrow(cut, "did long, th long, p int, more int, lead int, done boolean, split boolean, part int, anchor long, share int, bytes binary")
+
+def _blocks(wanted: DataFrame, length: int, block: int) -> DataFrame:
+    """Rows like those of :func:`_anchor_rows` for blocks of windows of surroundings (``of_anchor,
+    of_around``; ``shift`` is the block's place in them): the anchor is what the windows have in
+    common, with the first anchor and the place to it."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for ta, tb, text, asks in zip(*(b.column(c).to_pylist() for c in ("ta", "tb", "text", "asks")), strict=True):
+                sub = Substrings(np.frombuffer((text or "").encode(), np.uint8))
+                p, more, lead, anchor, around, n = (np.array([a[c] for a in asks], np.int64) for c in ("p", "more", "lead", "anchor", "around", "n"))
+                low = (lead - more) // block
+                count = lead // block - low + 1
+                i = np.repeat(np.arange(len(p)), count)
+                nr = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+                core = lead[i] - block * nr
+                first, last = np.maximum(0, core - block + 1), np.minimum(more[i], core)
+                begin = p[i] + core
+                name = mix(mix(anchor[i].view(np.uint64)) ^ mix(nr.astype(np.uint64) + np.uint64(1)))
+                name = mix(sub(begin, begin + length - block + 1) ^ name)
+                whole = mix(sub(p[i] + first, p[i] + last + length) ^ mix((core - first).astype(np.uint64) + np.uint64(1)))
+                out.append((np.full(len(i), ta), np.full(len(i), tb), p[i] + first, last - first, core - first, name.view(np.int64), whole.view(np.int64), n[i], anchor[i], around[i], first))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 11
+            kinds = [np.int64] * 2 + [np.int32] * 3 + [np.int64] * 5 + [np.int32]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], [*_SEEN, "n", "of_anchor", "of_around", "shift"])
+
+    return wanted.mapInArrow(run, _SEEN_KINDS + ", n long, of_anchor long, of_around long, shift int")
+
+
+def _repeats(docs: DataFrame, seen: DataFrame, length: int, level: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``seen`` whose anchors occur twice or more (each stands for ``n`` places), and
+    for their surroundings (anchor, around) the byte ranges ``[a, b)`` of windows that repeat."""
+    dup = written(seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))  # so that the join below deals both sides anew, and skewed keys can be split
+    met = written(seen.join(dup, "anchor"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.first, F.last) for c in ("ta", "tb", "p")]
+    kinds = written(met.groupBy("anchor", "around").agg(F.sum("n").alias("n"), F.first("more").alias("more"), F.first("lead").alias("lead"), *ends))
+    many = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > SHARE).select("anchor"))
+    found = []
+    if level < len(BLOCKS) and not many.isEmpty():
+        own = [F.col(f"first_{c}").alias(c) for c in ("ta", "tb", "p")]
+        asked = kinds.join(many, "anchor", "left_semi").select(*own, "more", "lead", "anchor", "around", "n")
+        asked = asked.select("ta", "tb", F.struct("p", "more", "lead", "anchor", "around", "n").alias("ask"))
+        inner, ranges = _repeats(docs, written(_blocks(_asked(docs, asked), length, BLOCKS[level])), length, level + 1)
+        shifted = inner.join(ranges, ["anchor", "around"]).select("of_anchor", "of_around", F.col("shift") + F.col("a"), F.col("shift") + F.col("b"))
+        found.append(shifted.distinct().toDF("anchor", "around", "a", "b"))
+        kinds = kinds.join(many, "anchor", "left_anti")
+
+    # Two occurrences of each kind; if they lie in copies of one text, one that counts twice.
+    apart = ~reduce(lambda x, c: x & (F.col(f"first_{c}") == F.col(f"last_{c}")), ("ta", "tb", "p"), F.lit(True))
+    parts = max(1, math.ceil(2 * kinds.count() / TOGETHER))
+    part = F.pmod(F.xxhash64("anchor"), F.lit(parts)).cast("int").alias("part")
+    one = lambda end, weight, main: F.struct(F.col(f"{end}_ta").alias("ta"), F.col(f"{end}_tb").alias("tb"), F.struct(F.col(f"{end}_p").alias("p"), "more", part, "anchor", "around", weight.alias("weight"), F.lit(main).alias("main")).alias("ask"))
+    places = F.when(apart, F.array(one("first", F.lit(1), True), one("last", F.lit(1), False))).otherwise(F.array(one("first", F.least("n", F.lit(2)).cast("int"), True)))
+    snippets = _snippets(_asked(docs, kinds.select(F.inline(places))), length)
 
     def match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("anchor", "ascending"), ("did", "ascending"), ("th", "ascending"), ("p", "ascending")])
-        did, th, p, more, lead, done, split, anchor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th", "p", "more", "lead", "done", "split", "anchor"))
-        texts = table.column("bytes").to_pylist()
-        owner, offset, kind = equal_windows(texts, (more + 1).tolist(), length)
-        twice = np.bincount(kind)[kind] > 1
-        # runs of windows that repeat, in documents not yet done
-        use = np.flatnonzero(twice & ~done[owner])
+        anchor, around, more, weight, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "around", "more", "weight", "main"))
+        owner, offset, kind = equal_windows(table.column("bytes").to_pylist(), (more + 1).tolist(), length)
+        twice = np.bincount(kind, weight[owner])[kind] > 1
+        use = np.flatnonzero(twice & main[owner])
         use = use[np.lexsort((offset[use], owner[use]))]
         o, w = owner[use], offset[use]
         new = np.flatnonzero((np.diff(o, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))
         stop = np.append(new[1:], len(o)) - 1 if len(new) else new
-        rows = [did[o[new]], th[o[new]], p[o[new]] + w[new], p[o[new]] + w[stop] + length]
-        # windows of anchors that other tasks have too: those that are not done and one of each kind that is
-        first_of = np.append(True, np.diff(kind) != 0)
-        use = np.flatnonzero(split[owner] & (first_of | ~twice))
-        block = (lead[owner[use]] - offset[use]) // BLOCK
-        at = np.lexsort((offset[use], block, owner[use]))
-        use, block = use[at], block[at]
-        o, w = owner[use], offset[use]
-        text = Substrings(np.frombuffer(b"".join(texts), np.uint8))
-        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)[o]
-        name = mix(anchor[o].view(np.uint64))
-        window = mix(text(begin + w, begin + w + length) ^ name).view(np.int64)
-        new = np.flatnonzero((np.diff(o, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        common = begin[new] + lead[o[new]] - BLOCK * block[new]
-        core = mix(text(common, common + length - BLOCK + 1) ^ mix(name[new] + block[new].astype(np.uint64))).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(use)).astype(np.int32)), pa.StructArray.from_arrays([pa.array((p[o] + w).astype(np.int32)), pa.array(window)], ["first", "window"]))
-        none, n = np.zeros(len(new), np.int64), len(rows[0])
-        columns = [np.concatenate([a, b]) for a, b in zip(rows, (did[o[new]], th[o[new]], none, none), strict=True)]
-        out = [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)]
-        out.append(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(core)]))
-        out.append(pa.concat_arrays([pa.nulls(n, _WINDOWS), lists.cast(_WINDOWS)]))
-        return pa.Table.from_arrays(out, ["did", "th", "first", "past", "core", "windows"])
-
-    found = written(snippets.groupBy("part").applyInArrow(match, _FOUND))
-    lone = found.where("core is not null").select("did", "th", "core", "windows")
-    shared = written(lone.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"))
-    near = written(lone.join(shared, "core").select("did", "th", F.inline("windows")))
-    again = written(near.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"))
-    covered = covered.unionAll(found.where("core is null").select("did", "th", "first", "past"))
-    covered = covered.unionAll(near.join(again, "window").select("did", "th", "first", (F.col("first") + length).alias("past")))
-    return covered.groupBy("did", "th").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+        columns = (anchor[o[new]], around[o[new]], w[new].astype(np.int32), (w[stop] + length).astype(np.int32))
+        return pa.table([pa.array(c) for c in columns], ["anchor", "around", "a", "b"])
+
+    found.append(snippets.groupBy("part").applyInArrow(match, "anchor long, around long, a int, b int"))
+    return met, written(reduce(DataFrame.unionAll, found))
+
+
+def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``ta, tb, spans``: the bytes to remove from each text of ``docs`` (ta, tb, text), as
+    unordered and possibly overlapping byte ranges (first, past). Texts without any are left out;
+    rows of equal texts have one row here."""
+    met, ranges = _repeats(docs, _anchor_rows(docs, length), length)
+    covered = met.join(ranges, ["anchor", "around"]).select("ta", "tb", (F.col("p") + F.col("a")).alias("first"), (F.col("p") + F.col("b")).alias("past"))
+    return covered.distinct().groupBy("ta", "tb").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -294,9 +340,10 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
     anywhere else (in the same text too), the removed byte ranges (maximal runs), and what is kept.
 
     A null text is an empty one. Rows are texts of their own: of repeated rows every byte repeats.
-    Ids may be null. Other columns are ignored.
+    Texts of any length are taken whole. Ids may be null; an empty table gives an empty result.
+    Other columns, whatever their names, are ignored.
     """
-    docs = _keyed(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    docs = _keyed(only(df, doc_id=doc_id, text=text), "text")
     kind = df.schema[doc_id].dataType.simpleString()
     removed = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
@@ -311,16 +358,17 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
                 kept.append(rest(data, cut))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, removed), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "removed", "kept"])
 
-    both = docs.join(spans(docs, length), ["did", "th"], "left").select("doc_id", "text", "spans")
+    both = docs.join(spans(docs, length), ["ta", "tb"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<first:int,past:int>>, kept binary")
 
 
-def strip(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def strip(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``df`` with the repeated passages gone from ``text``. A character stays if only some of its
-    bytes are to go. A null text stays null; texts of which nothing is left are empty. Other
-    columns stay as they are, whatever their names."""
-    names, (did, th, gone) = df.columns, unused(df, "did", "th", "spans")
-    docs = _keyed(df, doc_id, text, did, th)
+    bytes are to go. A null text stays null; texts of which nothing is left are empty. Every row
+    stays, repeated ones too; an empty table stays empty. Other columns stay as they are, whatever
+    their names."""
+    names, (ta, tb, gone) = df.columns, unused(df, "ta", "tb", "spans")
+    docs = _keyed(df, text, ta, tb)
 
     def apply(batches):
         for b in batches:
@@ -339,11 +387,26 @@ def strip(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
             columns = [pa.array(out, b.schema.field(c).type) if c == text else b.column(b.schema.names.index(c)) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    found = spans(docs.select(F.col(did).alias("did"), F.col(th).alias("th"), F.col(text).alias("text")), length).toDF(did, th, gone)
-    return docs.join(found, [did, th], "left").select(*[f"`{c}`" for c in names], gone).mapInArrow(apply, df.schema)
+    found = spans(docs.select(F.col(ta).alias("ta"), F.col(tb).alias("tb"), F.col(text).alias("text")), length).toDF(ta, tb, gone)
+    return docs.join(found, [ta, tb], "left").select(*[f"`{c}`" for c in names], gone).mapInArrow(apply, df.schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """Every document with what is removed and a digest of what is kept."""
     d = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window by its place, in hexadecimal: first cut into blocks, so that long texts are not walked again for each.
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, length(h) // 2 AS n, o, substr(h, 2 * o + 1, {2 * (256 + LENGTH)}) AS piece FROM (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - {LENGTH - 1}, 0), 256)) AS o FROM d)),
+w AS (SELECT r, o + k AS p, md5(substr(piece, 2 * k + 1, {2 * LENGTH})) AS m FROM (SELECT *, unnest(range(256)) AS k FROM b) WHERE o + k + {LENGTH} <= n),
+c AS (SELECT r, p FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS new FROM c)),
+g AS (SELECT r, min(p) AS a, max(p) + {LENGTH} AS b FROM i GROUP BY r, run),
+k AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM g),
+s AS (SELECT k.r, sum(b - a) AS gone, count(*) AS runs, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM k JOIN d USING (r) GROUP BY k.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN s USING (r)
+"""
