@@ -357,3 +357,8 @@ def op10(spark, sf_dir: str) -> DataFrame:
         "array_join(array_sort(array_distinct(concat(places.label, spans.label))), ',') as labels",
         "greatest(coalesce(array_max(spans.covered), 0.0D), if(size(places) > 0, 1.0D, 0.0D)) as score",
     )
+
+
+def license_base(spark, sf_dir: str) -> DataFrame:
+    """The part of :func:`op10` that SQL can express."""
+    return op10(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")

@@ -152,3 +152,8 @@ def fit_bands(measured: DataFrame, low: float = 0.0005, high: float = 0.9995, ba
 def op9(spark, sf_dir: str) -> DataFrame:
     """Every document's measures and verdict."""
     return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def quality_base(spark, sf_dir: str) -> DataFrame:
+    """The part of :func:`op9` that SQL can express."""
+    return op9(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, jaccard, licenses, packing, quality, sharding, suffix, toxicity
+from . import bpe, chat, embeddings, jaccard, licenses, packing, quality, sharding, sql, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,16 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": quality.op9,
     "op10_license_scan": licenses.op10,
     "chat_transcripts": chat.chat_transcripts,
+    "quality_base": quality.quality_base,
+    "license_base": licenses.license_base,
 }
 
-SQL: dict[str, str] = {"op6_chat_format": chat.OP6_SQL, "chat_transcripts": chat.TRANSCRIPTS_SQL}
+SQL: dict[str, str] = {
+    "op2_jaccard_join": sql.OP2,
+    "op5_suffix_dedup": suffix.OP5_SQL,
+    "op6_chat_format": chat.OP6_SQL,
+    "op8_embedding_dedup": sql.OP8,
+    "chat_transcripts": chat.TRANSCRIPTS_SQL,
+    "quality_base": sql.QUALITY_BASE,
+    "license_base": sql.LICENSE_BASE,
+}
