@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,76 +222,77 @@ def _asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return texts.join(asked.groupBy("ta", "tb").agg(F.collect_list("ask").alias("asks")), ["ta", "tb"]).select("ta", "tb", "text", "asks")
 
 
+_CUT = ["part", "anchor", "around", "more", "lead", "weight", "main", "again", "bytes"]
+
+
 def _snippets(wanted: DataFrame, length: int) -> DataFrame:
     def cut(batches):
         for b in batches:
             rows = []
             for text, asks in zip(b.column("text").to_pylist(), b.column("asks").to_pylist(), strict=True):
-                data = (text or "").encode()
-                rows += [(a["part"], a["anchor"], a["around"], a["more"], a["weight"], a["main"], data[a["p"] : a["p"] + a["more"] + length]) for a in asks]
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "anchor", "around", "more", "weight", "main", "bytes"])
+                data = text.encode() if isinstance(text, str) else text or b""
+                rows += [(*[a[c] for c in _CUT[:-1]], data[a["p"] : a["p"] + a["more"] + length]) for a in asks]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(_CUT)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _CUT)
 
-    return wanted.mapInArrow(cut, "part int, anchor long, around long, more int, weight int, main boolean, bytes binary")
+    return wanted.mapInArrow(cut, "part int, anchor long, around long, more int, lead int, weight long, main boolean, again boolean, bytes binary")
 
 
-def _blocks(wanted: DataFrame, length: int, block: int) -> DataFrame:
-    """Rows like those of :func:`_anchor_rows` for blocks of windows of surroundings (``of_anchor,
-    of_around``; ``shift`` is the block's place in them): the anchor is what the windows have in
-    common, with the first anchor and the place to it."""
+def _blocks(around: DataFrame, length: int, block: int) -> DataFrame:
+    """Rows like those of :func:`_anchor_rows` for blocks of windows of surroundings (``ta, tb``:
+    their anchor and hash): the anchor is what the block's windows have in common, with the first
+    anchor and the place to it."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for ta, tb, text, asks in zip(*(b.column(c).to_pylist() for c in ("ta", "tb", "text", "asks")), strict=True):
-                sub = Substrings(np.frombuffer((text or "").encode(), np.uint8))
-                p, more, lead, anchor, around, n = (np.array([a[c] for a in asks], np.int64) for c in ("p", "more", "lead", "anchor", "around", "n"))
-                low = (lead - more) // block
-                count = lead // block - low + 1
-                i = np.repeat(np.arange(len(p)), count)
-                nr = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-                core = lead[i] - block * nr
-                first, last = np.maximum(0, core - block + 1), np.minimum(more[i], core)
-                begin = p[i] + core
-                name = mix(mix(anchor[i].view(np.uint64)) ^ mix(nr.astype(np.uint64) + np.uint64(1)))
-                name = mix(sub(begin, begin + length - block + 1) ^ name)
-                whole = mix(sub(p[i] + first, p[i] + last + length) ^ mix((core - first).astype(np.uint64) + np.uint64(1)))
-                out.append((np.full(len(i), ta), np.full(len(i), tb), p[i] + first, last - first, core - first, name.view(np.int64), whole.view(np.int64), n[i], anchor[i], around[i], first))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 11
-            kinds = [np.int64] * 2 + [np.int32] * 3 + [np.int64] * 5 + [np.int32]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], [*_SEEN, "n", "of_anchor", "of_around", "shift"])
-
-    return wanted.mapInArrow(run, _SEEN_KINDS + ", n long, of_anchor long, of_around long, shift int")
-
-
-def _repeats(docs: DataFrame, seen: DataFrame, length: int, level: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``seen`` whose anchors occur twice or more (each stands for ``n`` places), and
-    for their surroundings (anchor, around) the byte ranges ``[a, b)`` of windows that repeat."""
+            ta, tb, more, lead, n = (b.column(c).to_numpy().astype(np.int64) for c in ("ta", "tb", "more", "lead", "n"))
+            data, offsets = utf8(b.column("text"))
+            sub, offsets = Substrings(data[offsets[0] : offsets[-1]]), offsets - offsets[0]
+            low = (lead - more) // block
+            count = lead // block - low + 1
+            i = np.repeat(np.arange(len(ta)), count)
+            nr = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            core = lead[i] - block * nr
+            first, last = np.maximum(0, core - block + 1), np.minimum(more[i], core)
+            name = mix(mix(ta[i].view(np.uint64)) ^ mix(nr.astype(np.uint64) + np.uint64(1)))
+            name = mix(sub(offsets[i] + core, offsets[i] + core + length - block + 1) ^ name)
+            whole = mix(sub(offsets[i] + first, offsets[i] + last + length) ^ mix((core - first).astype(np.uint64) + np.uint64(1)))
+            columns = (ta[i], tb[i], first, last - first, core - first, name.view(np.int64), whole.view(np.int64), n[i])
+            kinds = [np.int64] * 2 + [np.int32] * 3 + [np.int64] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], [*_SEEN, "n"])
+
+    return around.mapInArrow(run, _SEEN_KINDS + ", n long")
+
+
+def _repeats(docs: DataFrame, seen: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """``ta, tb, first, past``: the byte ranges of ``docs`` (ta, tb, text) whose windows repeat.
+    ``seen`` are their anchors (``n``: the number of places that a row stands for)."""
     dup = written(seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))  # so that the join below deals both sides anew, and skewed keys can be split
     met = written(seen.join(dup, "anchor"))
     ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.first, F.last) for c in ("ta", "tb", "p")]
     kinds = written(met.groupBy("anchor", "around").agg(F.sum("n").alias("n"), F.first("more").alias("more"), F.first("lead").alias("lead"), *ends))
-    many = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > SHARE).select("anchor"))
-    found = []
-    if level < len(BLOCKS) and not many.isEmpty():
-        own = [F.col(f"first_{c}").alias(c) for c in ("ta", "tb", "p")]
-        asked = kinds.join(many, "anchor", "left_semi").select(*own, "more", "lead", "anchor", "around", "n")
-        asked = asked.select("ta", "tb", F.struct("p", "more", "lead", "anchor", "around", "n").alias("ask"))
-        inner, ranges = _repeats(docs, written(_blocks(_asked(docs, asked), length, BLOCKS[level])), length, level + 1)
-        shifted = inner.join(ranges, ["anchor", "around"]).select("of_anchor", "of_around", F.col("shift") + F.col("a"), F.col("shift") + F.col("b"))
-        found.append(shifted.distinct().toDF("anchor", "around", "a", "b"))
-        kinds = kinds.join(many, "anchor", "left_anti")
-
-    # Two occurrences of each kind; if they lie in copies of one text, one that counts twice.
+    many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > (SHARE if level < len(BLOCKS) else 1 << 60)).select("anchor", F.lit(True).alias("again"))
+    many = written(many)
+
+    # Two occurrences of each kind; if they lie in copies of one text, one that counts twice. Of
+    # an anchor that is dealt again one.
     apart = ~reduce(lambda x, c: x & (F.col(f"first_{c}") == F.col(f"last_{c}")), ("ta", "tb", "p"), F.lit(True))
-    parts = max(1, math.ceil(2 * kinds.count() / TOGETHER))
-    part = F.pmod(F.xxhash64("anchor"), F.lit(parts)).cast("int").alias("part")
-    one = lambda end, weight, main: F.struct(F.col(f"{end}_ta").alias("ta"), F.col(f"{end}_tb").alias("tb"), F.struct(F.col(f"{end}_p").alias("p"), "more", part, "anchor", "around", weight.alias("weight"), F.lit(main).alias("main")).alias("ask"))
-    places = F.when(apart, F.array(one("first", F.lit(1), True), one("last", F.lit(1), False))).otherwise(F.array(one("first", F.least("n", F.lit(2)).cast("int"), True)))
-    snippets = _snippets(_asked(docs, kinds.select(F.inline(places))), length)
+    again = F.coalesce("again", F.lit(False))
+    parts = F.lit(max(1, math.ceil(2 * kinds.count() / TOGETHER)))
+    part = F.when(again, F.pmod(F.xxhash64("anchor", "around"), parts)).otherwise(F.pmod(F.xxhash64("anchor"), parts)).cast("int").alias("part")
+
+    def one(end: str, weight, main: bool):
+        ask = F.struct(F.col(f"{end}_p").alias("p"), part, "anchor", "around", "more", "lead", weight.cast("long").alias("weight"), F.lit(main).alias("main"), again.alias("again"))
+        return F.struct(F.col(f"{end}_ta").alias("ta"), F.col(f"{end}_tb").alias("tb"), ask.alias("ask"))
+
+    both = F.array(one("first", F.lit(1), True), one("last", F.lit(1), False))
+    places = F.when(again, F.array(one("first", F.col("n"), True))).when(apart, both).otherwise(F.array(one("first", F.least("n", F.lit(2)), True)))
+    snippets = _snippets(_asked(docs, kinds.join(many, "anchor", "left").select(F.inline(places))), length)
 
     def match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        later = table.filter(table.column("again")).select(["anchor", "around", "more", "lead", "weight", "bytes"])
+        table = table.filter(pc.invert(table.column("again")))
         anchor, around, more, weight, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "around", "more", "weight", "main"))
         owner, offset, kind = equal_windows(table.column("bytes").to_pylist(), (more + 1).tolist(), length)
         twice = np.bincount(kind, weight[owner])[kind] > 1
@@ -300,19 +302,24 @@ def _repeats(docs: DataFrame, seen: DataFrame, length: int, level: int = 0) -> t
         new = np.flatnonzero((np.diff(o, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))
         stop = np.append(new[1:], len(o)) - 1 if len(new) else new
         columns = (anchor[o[new]], around[o[new]], w[new].astype(np.int32), (w[stop] + length).astype(np.int32))
-        return pa.table([pa.array(c) for c in columns], ["anchor", "around", "a", "b"])
+        found = pa.table([pa.array(c) for c in columns], ["anchor", "around", "a", "b"])
+        out = pa.concat_tables([found, later], promote_options="default")
+        return out.select(["anchor", "around", "a", "b", "more", "lead", "weight", "bytes"])
 
-    found.append(snippets.groupBy("part").applyInArrow(match, "anchor long, around long, a int, b int"))
-    return met, written(reduce(DataFrame.unionAll, found))
+    found = written(snippets.groupBy("part").applyInArrow(match, "anchor long, around long, a int, b int, more int, lead int, weight long, bytes binary"))
+    ranges = found.where("bytes is null").select("anchor", "around", "a", "b")
+    if level < len(BLOCKS) and not many.isEmpty():
+        later = found.where("bytes is not null").selectExpr("anchor as ta", "around as tb", "more", "lead", "weight as n", "bytes as text")
+        ranges = ranges.unionAll(written(_repeats(later, _blocks(later, length, BLOCKS[level]), length, level + 1)))
+    return met.join(ranges, ["anchor", "around"]).select("ta", "tb", (F.col("p") + F.col("a")).alias("first"), (F.col("p") + F.col("b")).alias("past")).distinct()
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``ta, tb, spans``: the bytes to remove from each text of ``docs`` (ta, tb, text), as
     unordered and possibly overlapping byte ranges (first, past). Texts without any are left out;
     rows of equal texts have one row here."""
-    met, ranges = _repeats(docs, _anchor_rows(docs, length), length)
-    covered = met.join(ranges, ["anchor", "around"]).select("ta", "tb", (F.col("p") + F.col("a")).alias("first"), (F.col("p") + F.col("b")).alias("past"))
-    return covered.distinct().groupBy("ta", "tb").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    found = _repeats(docs, _anchor_rows(docs, length), length)
+    return found.groupBy("ta", "tb").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
