@@ -66,14 +66,21 @@ class PrefixBPE:
 
     def extend(self, last: list[int], piece: bytes) -> list[int]:
         """``last`` holds the last tokens of the first prefixes of ``piece``; add the others'."""
+        rank, tails = self.rank, self.tails
         for end in range(len(last) + 1, len(piece) + 1):
-            for n in range(min(end, self.longest), 0, -1):
-                t = self.rank.get(piece[end - n : end])
-                if t is not None and (n == end or self.follows(last[end - n - 1], t)):
-                    last.append(t)
-                    break
+            fits, n = [], 1  # tokens that end here, shortest first
+            while n <= end and (tail := piece[end - n : end]) in tails:
+                if (t := rank.get(tail)) is not None:
+                    fits.append((n, t))
+                n += 1
+            last.append(next(t for n, t in reversed(fits) if n == end or self.follows(last[end - n - 1], t)))
         return last
 
+    @functools.cached_property
+    def tails(self) -> set[bytes]:
+        """All ends of all tokens: a string that is none is not the end of a longer token either."""
+        return {t[i:] for t in self.rank for i in range(len(t))}
+
     def read(self, last: list[int]) -> list[int]:
         """The encoding that a table of last tokens stands for."""
         out, end = [], len(last)
@@ -158,8 +165,10 @@ def codec(path: str = MULTI) -> PrefixBPE:
     return PrefixBPE(ranks(path))
 
 
-#: Pieces of text that a Python worker remembers with their ids; it forgets all beyond.
-REMEMBERED = 300_000
+#: Bytes of pieces of text, and what belongs to them, that a Python worker remembers; it forgets all beyond.
+REMEMBERED = 128 << 20
+#: What an entry takes besides its contents.
+ENTRY = 400
 
 
 class TextCodec:
@@ -169,16 +178,20 @@ class TextCodec:
         self.bpe = codec(path)
         self.split = regex.compile(PATTERN).findall
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
-            new = list(pieces)
+            self.held = 0
+        new = [p for p in pieces if p not in self.known]
         words = [p.encode() for p in new]
         token = self.bpe.token
         for p, ids in zip(new, self.bpe.encode_many(words), strict=True):
-            self.known[p] = (",".join(map(str, ids)), len(ids), b"".join([token[i] for i in ids]))
+            text = ",".join(map(str, ids))
+            whole = b"".join([token[i] for i in ids])
+            self.known[p] = (text, len(ids), whole)
+            self.held += ENTRY + len(text) + 2 * len(whole)
 
     def __call__(self, texts: list[str]) -> list[tuple[list[str], list[str]]]:
         """For each text its pieces; all are remembered afterwards."""
@@ -200,8 +213,10 @@ TOGETHER = 1 << 20
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = MULTI) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text. A null text is an
-    empty one; rows are taken one by one, so ids may be null and repeat; other columns are
-    ignored. One narrow pass without a shuffle."""
+    empty one and has no tokens; rows are taken one by one, so ids may be null and repeat, and an
+    empty table gives an empty result; other columns, whatever their names, are ignored. A text of
+    any length is encoded whole, in time that grows with its length even without a break. One
+    narrow pass without a shuffle."""
 
     def run(batches):
         code = TextCodec(path)
