@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+#: Keys that :func:`of_class` broadcasts at most.
+HOT = 10_000
+
+
+def of_class(rows: DataFrame, per_key: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the columns of ``per_key`` (key, n: the number of rows of the key); rows
+    without a key are left out. Keys of more than ``total / HOT`` rows, of which there are HOT at
+    most, are broadcast, so that their rows stay where they are; the others meet by key."""
+    often = F.col("n") > math.ceil(total / HOT)
+    hot, rest = F.broadcast(per_key.where(often)), per_key.where(~often)
+    rows = rows.where("key is not null")
+    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
+
+
 def seen_before(lists: list, this: int) -> np.ndarray | None:
     """Which pairs of members also meet in a bucket of a smaller number than ``this``. Each
     member has the numbers of all its buckets. A pair counts in its first bucket only."""

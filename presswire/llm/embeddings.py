@@ -7,11 +7,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, written
-from .components import components
+from .components import components, of_class
 
 COSINE = 0.9
 #: Vectors that the cells are fitted on at most, and rounds of k-means.
@@ -22,15 +23,23 @@ PER_CELL, MAX_CELLS = 4096, 4096
 BLOCK, TILE = 8192, 512
 
 
-def normalised(x: np.ndarray | None) -> np.ndarray | None:
-    """The unit vector in double precision; None for null, zero and non-finite vectors."""
-    if x is None or not len(x):
-        return None
-    v = np.array(x, np.float64)
-    if not np.isfinite(v).all() or not (top := np.abs(v).max()):
-        return None
-    v = v / top
-    return v / np.sqrt(v @ v)
+def normalised(column: pa.Array) -> list[bytes | None]:
+    """The unit vectors of a list column in double precision, as bytes; None for null, empty, zero
+    and non-finite vectors and those that hold a null."""
+    out: list[bytes | None] = [None] * len(column)
+    values = pc.list_flatten(column).cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null is a NaN
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        x = values[start[at][:, None] + np.arange(size)]
+        top = np.abs(x).max(axis=1)
+        ok = np.isfinite(top) & (top > 0)
+        x = x[ok] / top[ok, None]
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        for i, v in zip(at[ok].tolist(), x, strict=True):
+            out[i] = v.tobytes()
+    return out
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
@@ -113,16 +122,17 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", th
     Vectors are linked if their cosine, in double precision, is ``threshold`` or more. Equal unit
     vectors are one node, so copies are not expanded into pairs. Cells are fitted on a sample of at
     most SAMPLE vectors; every vector visits all cells that can hold a partner, so every pair is
-    found. Null, empty, zero and non-finite vectors link with nothing and are kept; vectors of
-    different lengths do not link. Ids may be null and repeat; a component is named by its smallest
-    id. Other columns are ignored.
+    found, whatever the sample. Null, empty, zero and non-finite vectors link with nothing and are
+    kept; vectors of different lengths do not link, and those of a length that the sample lacks
+    share one cell. Vectors of any length are taken whole. Ids may be null and repeat; a component
+    is named by its smallest id (of equal smallest ids every row is kept); an empty table gives an
+    empty result. Other columns, whatever their names, are ignored.
     """
     kind = df.schema[vec_id].dataType.simpleString()
 
     def unit(batches):
         for b in batches:
-            vectors = [normalised(x) for x in b.column("embedding").to_pylist()]
-            raw = [None if v is None else v.tobytes() for v in vectors]
+            raw = normalised(b.column("embedding"))
             keys = [None if r is None else hashlib.md5(r).digest() for r in raw]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "key", "vector"])
 
@@ -176,9 +186,9 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", th
     first = group.join(nodes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
     linked = group.join(first, "component").select(F.col("node").alias("key"), "first")
     per_key = nodes.select("key", "n", "rep").join(counts, "key", "left").join(linked, "key", "left").select("key", "n", F.coalesce("first", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.select("vec_id", "key").join(per_key, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("first"))
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    own = of_class(rows.select("vec_id", "key"), written(per_key), rows.count()).select("vec_id", "first", (F.col("links") + F.col("n") - 1).alias("links"))
+    out = own.unionAll(rows.where("key is null").select("vec_id", "vec_id", F.lit(0)))
+    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("first").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("first")).alias("kept"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
