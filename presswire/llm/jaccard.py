@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Substrings, mix, only, pieces, text_hash, unused, utf8, written
-from .components import components, seen_before, stars
+from .components import components, of_class, seen_before, stars
 
 WORDS = 5
 #: Similarity as a fraction, so that the comparison is exact: 4/5.
@@ -283,8 +283,9 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
     directly, ``n_texts`` that of other texts. ``is_first`` marks the rows of one document of
     each class: the one with the smallest id, and among these with the smallest hash of the text
     (``th``). A document without words (null, empty, blank) links with nothing: it is a class of
-    its own. Ids may be null (they sort first) and repeat; repeated rows are copies. Other columns
-    are ignored.
+    its own. Ids may be null (they sort first) and repeat; repeated rows are copies. Texts of any
+    length are taken whole; an empty table gives an empty result. Other columns, whatever their
+    names, are ignored.
     """
     docs = only(df, doc_id=doc_id, text=text).withColumn("th", text_hash())
     members = written(_sets_of(docs, runs_needed(recall)))
@@ -318,26 +319,35 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
     first = group.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
     linked = group.join(first, "component").select(F.col("node").alias("key"), "first")
     per_key = classes.select("key", "n", "rep").join(counts, "key", "left").join(linked, "key", "left").select("key", "n", F.coalesce("first", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
-    out = members.select("doc_id", "th", "key").join(written(per_key), "key", "left")
-    return out.select(
+    own = of_class(members.select("doc_id", "th", "key"), written(per_key), members.count())
+    own = own.select(
         "doc_id",
         "th",
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
-        (F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).alias("is_first"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
+        F.col("first.doc_id").alias("class_id"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("is_first"),
+        F.col("n").alias("n_copies"),
+        (F.col("links") + F.col("n") - 1).alias("n_links"),
+        F.col("texts").alias("n_texts"),
     )
+    none = members.where("key is null").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"), F.lit(1).alias("n_copies"), F.lit(0).alias("n_links"), F.lit(0).alias("n_texts"))
+    return own.unionByName(none).select("doc_id", "th", "class_id", "is_first", *[F.col(c).cast("long").alias(c) for c in ("n_copies", "n_links", "n_texts")])
 
 
 def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each class of :func:`join` the first
-    document stays, and of repeated rows of it one."""
-    own_id, own_text, th = unused(df, "id", "own_text", "th")
-    first = join(df, doc_id, text, recall).where("is_first").select(F.col("doc_id").alias(own_id), F.col("th").alias(th)).distinct()
-    own = df.withColumn(own_text, text_hash(text))
-    kept = own.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(th)), "left_semi")
-    return kept.dropDuplicates([doc_id, own_text]).drop(own_text)
+    document stays, and of rows that share its id and text the one with the smallest hash of all
+    columns. A row without words (null, empty, blank) is a class of its own, so all of these stay,
+    repeated ones too. An empty table stays empty; other columns stay, whatever their names."""
+    own_id, own_text, th, many, row = unused(df, "id", "own_text", "th", "many", "row")
+    classes = join(df, doc_id, text, recall).where("is_first")
+    first = written(classes.select(F.col("doc_id").alias(own_id), F.col("th").alias(th), (F.col("n_copies") > 1).alias(many)).distinct())
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.col(own_text) == F.col(th))
+    kept = df.withColumn(own_text, text_hash(f"`{text}`")).join(first, same)
+    columns = [f"`{c}`" for c in df.columns]
+    hashed = [f"`{c}`" for c, kind in df.dtypes if not kind.startswith(("map", "variant", "void"))]
+    least = F.min_by(F.struct(*columns), F.xxhash64(*hashed, *[F.col(c).isNull() for c in hashed])).alias(row)
+    repeated = kept.where(many).groupBy(f"`{doc_id}`", own_text).agg(least).select(f"{row}.*")
+    return kept.where(~F.col(many)).select(*columns).unionAll(repeated)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
