@@ -64,6 +64,31 @@ def test_sharding(docs):
     assert sharding.shuffle_shards(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [600, 20_000])
+def test_sharding_of_equal_rows(spark, monkeypatch, size):
+    """Rows equal in every column, a third of all, go to many buckets; names of helpers may clash."""
+    monkeypatch.setattr(sharding, "MIN_BUCKETS", 3)
+    names = ["hash", "bucket", "times", "h", "n", "portions", "k"]
+    given = [(7, "same text " * 9, *names)] * 300 + [(None, None, *names)] * 200 + [(i, prose(8, i), *names) for i in range(500)] + [(900, prose(900, "x"), *names)]
+    d = spark.createDataFrame(given, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = sharding.shuffle_shards(d, n_shards=5, bucket_bytes=size)
+    assert out.columns == [*d.columns, "position", "shard", "slot"]
+    got = out.collect()
+    assert Counter(tuple(r)[: len(given[0])] for r in got) == Counter(given)
+    assert sorted(r.position for r in got) == list(range(len(given)))
+    for k in range(5):
+        own = sorted(r.slot for r in got if r.shard == k)
+        assert own == list(range(len(own))) and len(own) in (200, 201)
+    where = [r.position for r in got if r.doc_id == 7]
+    if size == 600:  # equal rows are spread
+        assert len({p // 100 for p in where}) >= 8
+    places = lambda rows_: sorted((r.position, repr(r.doc_id)) for r in rows_)
+    again = sharding.shuffle_shards(d.repartition(7), n_shards=5, bucket_bytes=size).collect()
+    assert places(again) == places(got)
+    other = sharding.shuffle_shards(d, n_shards=5, bucket_bytes=size, seed=3).collect()
+    assert places(other) != places(got)
+
+
 def test_write_shards(docs, spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), n_shards=3)
     assert sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().collect())[-1] <= len(documents()) // 3 + 1
@@ -78,8 +103,21 @@ def test_jaccard(docs, monkeypatch, small, block):
     kept = jaccard.keep(docs)
     assert kept.columns == docs.columns
     firsts = Counter(c for _, c, _, _ in set(want) if c is not None)
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(firsts)
-    assert jaccard.join(docs.limit(0)).count() == 0
+    got = kept.collect()
+    assert {r.doc_id for r in got if r.doc_id is not None} == set(firsts)
+    blank = lambda rows_: sorted(((i, t) for i, t in rows_ if not (t or "").split()), key=repr)
+    assert blank((r.doc_id, r.text) for r in got) == blank(documents())
+    assert jaccard.join(docs.limit(0)).count() == 0 and jaccard.keep(docs.limit(0)).count() == 0
+
+
+def test_jaccard_keep_repeated_rows(spark):
+    """Rows without words stay, each of them; of rows with one id and text the choice is defined."""
+    words = prose(30, "r")
+    given = [(2, "", "en"), (2, "", "fr"), (None, None, "x"), (None, None, "x"), (1, words, "b"), (1, words, "a"), (1, words, "c"), (3, words, "z")]
+    d = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    out = rows(jaccard.keep(d), "doc_id", "text", "lang")
+    assert len(out) == 5 and [x for x in out if x[1] != words] == sorted(given[:4], key=repr)
+    assert out == rows(jaccard.keep(d.orderBy("lang").repartition(5)), "doc_id", "text", "lang")
 
 
 def test_jaccard_runs():
@@ -122,6 +160,22 @@ def test_bpe(docs):
     same(sorted(((r.doc_id, bytes(r.bytes)) for r in back.collect()), key=repr), [(i, (t or "").encode()) for i, t in documents()])
 
 
+def test_bpe_forgets(docs, monkeypatch):
+    """Results do not depend on what a worker remembers."""
+    monkeypatch.setattr(bpe, "TOGETHER", 500)
+    texts = [t or "" for _, t in documents()]
+    code, other = bpe.TextCodec(), bpe.TextCodec()
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    sizes, got = [], []
+    for t in texts:
+        got.append(code.encode(t))
+        sizes.append(code.held)
+    assert any(a > b for a, b in zip(sizes, sizes[1:], strict=False)) and len(code.known) < len(set().union(*[code.split(t) for t in texts]))
+    monkeypatch.setattr(bpe, "REMEMBERED", 1 << 30)
+    assert got == [other.encode(t) for t in texts] == [brute.encoding().encode_ordinary(t) for t in texts]
+    assert bpe.digests(docs.limit(0)).count() == bpe.decode(bpe.encode(docs.limit(0))).count() == 0
+
+
 def test_bpe_editor():
     enc, code = brute.encoding(), bpe.codec()
     assert len(ranks()) == code.n
@@ -133,6 +187,8 @@ def test_bpe_editor():
     whole = whole[:4] + b"XYZ" + whole[9:]
     assert e.edit(4, 9, b"XYZ") == enc._encode_single_piece(whole)
     r = random.Random(1)
+    for whole in (b"a" * 3000, "é".encode() * 900 + b"abc" * 400, bytes(r.choice(b"abcdefgh") for _ in range(4000)), bytes(r.randrange(256) for _ in range(2000))):
+        assert code.encode_many([b"x", whole, b"the"])[1] == enc._encode_single_piece(whole)
     words = [bytes(r.choice(b"thendigsoluar \xc3\xa9") for _ in range(r.randint(1, 90))) for _ in range(300)]
     assert code.encode_many(words) == [enc._encode_single_piece(w) for w in words]
 
@@ -454,6 +510,24 @@ def test_embeddings_hot_group(spark, monkeypatch):
     same(rows(embeddings.link(df), "vec_id", "n_links", "component_id", "kept"), want)
 
 
+def test_embeddings_of_other_lengths(spark, monkeypatch):
+    """Vectors of a length that the sample lacks are compared too, over many cells."""
+    monkeypatch.setattr(embeddings, "SAMPLE", 12)
+    monkeypatch.setattr(embeddings, "PER_CELL", 5)
+    monkeypatch.setattr(embeddings, "BLOCK", 20)
+    r = random.Random(7)
+    base = [[r.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows_ = [(i, [x + r.gauss(0, 0.3) for x in base[i % 6]]) for i in range(150)]
+    rows_ += [(200 + i, [float(i // 3), 1.0, 2.0]) for i in range(9)] + [(300, [1.0]), (301, [2.0]), (302, [-1.0]), (302, [-1.0]), (None, [1.0]), (None, None)]
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows_], "vec_id long, embedding array<float>, key int, first int, links string")
+    floats = [(i, v if v is None else [float(__import__("numpy").float32(x)) for x in v]) for i, v in rows_]
+    named = [(i if i is not None else -1, v) for i, v in floats]  # nulls are not the smallest id
+    want = {x[0]: x[1] for x in brute.cosine(named)}
+    got = embeddings.link(df).collect()
+    assert len(got) == len(rows_) and all(g.n_links == want[-1 if g.vec_id is None else g.vec_id] for g in got if g.vec_id is not None)
+    assert {(g.vec_id, g.component_id) for g in got if g.vec_id in (300, 301, 302)} == {(300, 300), (301, 300), (302, 302)}
+
+
 def test_toxicity(spark):
     bad = ["grobnik", "grobnas", "velmort"]
     docs, labels = [], []
@@ -492,7 +566,7 @@ def test_clashing_names(spark):
     kept = jaccard.keep(df)
     assert kept.columns == df.columns
     got = kept.collect()
-    assert sorted((r.doc_id or 0 for r in got)) == [0, 1, 3, 4] and {tuple(r)[2:] for r in got} < whole
+    assert sorted((r.doc_id or 0 for r in got)) == [0, 1, 3, 4, 4] and {tuple(r)[2:] for r in got} < whole
     model = toxicity.Model(-5.0, -5.0, {"^vile$": 9.0})
     for out in (quality.keep(df), toxicity.keep(df, model)):
         assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} <= whole
