@@ -140,3 +140,21 @@ def least_cost(lengths):
 def entropy(ids):
     n = len(ids)
     return -sum(k / n * math.log2(k / n) for k in Counter(ids).values()) / math.log2(n) if n > 1 else 1.0
+
+
+def noisy_or(text, leak, bias, weights):
+    """A document's score and its sentences with evidence, from the definition: every word's
+    different strings count once, every word as often as it stands there."""
+    clean, found = 1 - 1 / (1 + math.exp(-leak)), []
+    for m in re.finditer(r"[^.!?\n]+[.!?]*", text or ""):
+        s, any_ = 0.0, False
+        for w in re.findall(r"\w+", m[0].lower()):
+            w = "^" + w + "$"
+            parts = {w, *[w[:k] for k in range(4, 8)], *[w[i : i + k] for k in (4, 5) for i in range(len(w) - k + 1)]}
+            for g in parts & weights.keys():
+                s, any_ = s + weights[g], True
+        if any_ and s:
+            p = 1 / (1 + math.exp(-(bias + s)))
+            clean *= 1 - p
+            found.append((m.start(), m.end(), p))
+    return 1 - clean, found

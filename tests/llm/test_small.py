@@ -591,6 +591,68 @@ def test_toxicity_of_unspaced_text():
         assert score(x * 3)[0] < toxicity.THRESHOLD < score(x * 3 + "grobnik" + x)[0]
 
 
+def test_toxicity_against_plain_noisy_or(spark):
+    """Scores and spans from the definition, for words of any length, repeated words and odd texts."""
+    r = random.Random(21)
+    texts = [" ".join(r.choice([*VOCAB[:40], "vile", "Vile_thing", "x" * 60 + "vile" + "y" * 60, "漢字vile漢字", ".", "!\n", "?"]) for _ in range(r.randint(0, 60))) for _ in range(200)]
+    texts += ["", None, ".", "vile", "VILE vile vile. vile", "a" * 300_000 + "vile" + "b" * 300_000, "İstanbul vile"]
+    grams = sorted({g for w in [*VOCAB[:15], "vile", "thing"] for g in toxicity.grams(w)})
+    weights = {g: r.gauss(0, 1) for g in grams}
+    model = toxicity.Model(-4.0, -3.0, weights)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.score(d, model).collect()}
+    kept = {x.doc_id for x in toxicity.keep(d, model).collect()}
+    for i, t in enumerate(texts):
+        want, spans = brute.noisy_or(t, -4.0, -3.0, weights)
+        assert abs(got[i].score - want) < 1e-9 and (i in kept) == (got[i].score < toxicity.THRESHOLD)
+        assert [(s.start, s.end) for s in got[i].offending] == [(a, b) for a, b, p in spans if p >= toxicity.THRESHOLD]
+
+
+def test_toxicity_fit_against_likelihood():
+    """The fit is a maximum: no small change of a parameter raises the penalised likelihood."""
+    import numpy as np
+
+    bad = ["grobnik", "velmort"]
+    texts = [prose(20, i) + (f" {bad[i % 2]} {prose(4, -i)}" if i % 5 == 0 else "") for i in range(400)]
+    toxic = [int(i % 5 == 0) ^ int(i % 97 == 0) for i in range(400)]
+    model = toxicity.fit(texts, toxic)
+    assert len(model.weights) > 3
+
+    def objective(leak, bias, weights):
+        # strings that always stand together share a weight: the penalty counts each feature once
+        score = [brute.noisy_or(t, leak, bias, weights)[0] for t in texts]
+        value = sum(np.log(max(s, 1e-12)) if y else np.log(max(1 - s, 1e-12)) for s, y in zip(score, toxic, strict=True))
+        return value / len(texts) - 1e-4 * sum(w * w for w in weights.values())
+
+    best = objective(model.leak, model.bias, model.weights)
+    for step in (-0.5, 0.5):
+        assert objective(model.leak + step, model.bias, model.weights) < best + 1e-4
+        assert objective(model.leak, model.bias + step, model.weights) < best + 1e-4
+        for g in list(model.weights)[:4]:
+            assert objective(model.leak, model.bias, {**model.weights, g: model.weights[g] + step}) < best + 1e-4
+
+
+def test_toxicity_of_tables_equals_fit_in_memory(spark):
+    """Counting over tables gives the features and the model that one process finds."""
+    texts = [prose(20, i) + (" grobnik velmort." if i % 5 == 0 else "") for i in range(300)]
+    toxic = [int(i % 5 == 0) for i in range(300)]
+    ids = [i for i in range(3000) if not brute.held_out(i)][:300]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, sentences string, toxic int")
+    y = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, toxic, strict=True)], "doc_id long, toxic int, text string")
+    one, other = toxicity.train(d, y), toxicity.fit(texts, toxic)
+    assert "^grobnik$" in one.weights and one.weights.keys() == other.weights.keys() and abs(one.leak - other.leak) < 1e-2
+    assert all(abs(w - other.weights[g]) < 1e-2 for g, w in one.weights.items())
+
+
+def test_toxicity_of_empty_tables(spark):
+    d = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    y = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for docs, labels in ((d.limit(0), y), (d, y.limit(0)), (d.limit(0), y.limit(0))):
+        model = toxicity.train(docs, labels)
+        assert model.weights == {} and toxicity.score(d, model).first().score < 0.01
+        assert toxicity.score(d.limit(0), model).count() == toxicity.keep(d.limit(0), model).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
