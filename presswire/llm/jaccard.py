@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ BRANCHES = 2
 RECALL = 0.9999
 #: Buckets of so many sets or fewer are compared by brute force; larger ones are split at most so often.
 SMALL, LEVELS = 256, 8
+#: Splitting ends when all buckets that are left make so many pairs or fewer: to compare them costs
+#: less than another shuffle.
+PAIRS = 1 << 25
 #: Sets that agree with one of their bucket in this share of coordinates on average, as far as
 #: PROBED of them show, are alike, and splitting won't part them.
 ALIKE, PROBED = 0.5, 16
@@ -154,16 +158,13 @@ def _sets_of(df: DataFrame, runs: int) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {kind}, th long, key binary, signature binary, nodes array<long>")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of nodes with two sets or more, with their ``size``."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return written(rows.join(sizes, "node"))
-
-
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``node, key, size`` of the buckets to compare."""
-    level = _shared(classes.select(F.explode("nodes").alias("node"), "key"))
-    leaves = level.where(F.col("size") <= SMALL)
+    """``node, key, size`` of the buckets to compare. Each level is one job: a node's size and one
+    of its sets come from one aggregate, and what follows stays where its nodes are."""
+    rows = classes.select(F.explode("nodes").alias("node"), "key")
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    level = written(rows.join(sizes, "node"))
+    leaves = [level.where(F.col("size") <= SMALL)]
 
     def split(batches):
         for b in batches:
@@ -175,20 +176,33 @@ def _buckets(classes: DataFrame) -> DataFrame:
     part = lambda c, i: F.substring(c, 4 * i + 1, 4)
     agree = sum((part("signature", i) == part("probe", i)).cast("int") for i in range(PROBED)) / F.lit(PROBED)
 
-    large = written(level.where(F.col("size") > SMALL).join(classes.select("key", "signature"), "key"))
-    for _ in range(LEVELS):
-        if large.isEmpty():
-            break
-        probe = written(large.groupBy("node").agg(F.min(F.struct("key", "signature")).alias("m")).select("node", F.col("m.signature").alias("probe")))
-        alike = written(large.join(probe, "node").groupBy("node").agg(F.avg(agree).alias("share")).where(F.col("share") >= ALIKE).select("node"))
-        leaves = leaves.unionAll(large.join(alike, "node", "left_semi").select(*leaves.columns))
-        level = _shared(large.join(alike, "node", "left_anti").select("node", "key", "signature").mapInArrow(split, "node long, key binary, signature binary"))
-        leaves = leaves.unionAll(level.where(F.col("size") <= SMALL).select(*leaves.columns))
-        large = level.where(F.col("size") > SMALL)
-    leaves = leaves.unionAll(large.select(*leaves.columns))  # what is left after LEVELS is compared too
-    leaves = leaves.select("node", "key", "size")
+    def looked_at(rows: DataFrame) -> DataFrame:
+        """``rows`` (node, key, signature) of nodes of two sets or more, with the node's size and
+        how far its sets agree with one of them."""
+        of = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("key", "signature")).alias("m")).where("size > 1")
+        met = rows.join(of.select("node", "size", F.col("m.signature").alias("probe")), "node")
+        share = met.groupBy("node").agg(F.avg(agree).alias("share"))
+        return written(met.join(share, "node").select("node", "key", "signature", "size", "share"))
+
+    def few(rows: DataFrame) -> bool:
+        return (rows.agg(F.sum("size")).first()[0] or 0) <= PAIRS
+
+    large = level.where(F.col("size") > SMALL)
+    if few(large):
+        leaves.append(large)
+    else:
+        level = looked_at(large.select("node", "key").join(classes.select("key", "signature"), "key").select("node", "key", "signature"))
+        for depth in range(LEVELS + 1):
+            done = (F.col("size") <= SMALL) | (F.col("share") >= ALIKE)
+            leaves.append(level.where(done))
+            large = level.where(~done)
+            if depth == LEVELS or few(large):
+                leaves.append(large)
+                break
+            level = looked_at(large.select("node", "key", "signature").mapInArrow(split, "node long, key binary, signature binary"))
+    leaves = reduce(DataFrame.unionAll, [x.select("node", "key", "size") for x in leaves])
     # Buckets of equal members do the same work: the first of them does it.
-    same = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "key")).alias("x"))
+    same = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "key")).alias("x"))
     return written(leaves.join(same.groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"))
 
 
