@@ -94,8 +94,10 @@ def test_write_shards(docs, spark, tmp_path):
     assert sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().collect())[-1] <= len(documents()) // 3 + 1
 
 
-@pytest.mark.parametrize(("small", "block"), [(256, 256), (3, 2)])
-def test_jaccard(docs, monkeypatch, small, block):
+@pytest.mark.parametrize(("small", "block", "pairs", "alike"), [(256, 256, 1 << 25, 0.5), (3, 2, 0, 0.5), (3, 2, 0, 2.0), (3, 2, 1 << 25, 0.5)])
+def test_jaccard(docs, monkeypatch, small, block, pairs, alike):
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "ALIKE", alike)
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     want = [w if i is not None and (t or "").split() else (w[0], w[0] if not (t or "").split() else w[1], *w[2:]) for w, (i, t) in zip(brute.jaccard(documents()), documents(), strict=True)]
