@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from html.parser import HTMLParser
 
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 from .text import BLANK_CHARACTERS
 
+log = logging.getLogger(__name__)
+
 _SKIP = {"script", "style", "noscript", "template", "svg", "iframe", "form", "button", "select", "textarea"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {"p", "div", "section", "article", "main", "li", "ul", "ol", "td", "tr", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "figcaption", "dd", "dt", "dl", "body", "aside", "header", "footer", "nav"}
+# Class-name hints: fixed values, a shorter form of those of Arc90's Readability (Apache License 2.0).
 _AWAY = re.compile(r"\bad-|\bads?\b|banner|breadcrumb|combx|comment|community|cookie|disqus|footer|header|menu|nav|promo|related|remark|rss|share|shoutbox|sidebar|social|sponsor|subscribe|tool", re.I)
 _STAY = re.compile(r"article|body|content|entry|hentry|main|page|post|text|story", re.I)
 _BOILERPLATE = {"nav", "footer", "aside", "header"}
@@ -123,6 +127,21 @@ def _prune(node: _Node) -> None:
         stack.extend(c for c in n.children if not isinstance(c, str))
 
 
+def _paragraphs(root: _Node) -> list[tuple[_Node, str]]:
+    """Elements that hold text of their own, in the order of the page, with that text: of an
+    element around other paragraphs only what stands outside of them, so nesting costs nothing."""
+    out: list[tuple[_Node, str]] = []
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        own = n.tag in ("p", "pre", "td", "blockquote")
+        if own or (n.tag in ("div", "article", "section", "body") and sum(len(c.strip()) for c in n.children if isinstance(c, str)) >= 25):
+            parts = [c if isinstance(c, str) else c.text() for c in n.children if isinstance(c, str) or c.tag not in _BLOCK]
+            out.append((n, _tidy("".join(parts))))
+        stack.extend(c for c in reversed(n.children) if not isinstance(c, str))
+    return out
+
+
 def extract(html: str | None) -> dict[str, str] | None:
     """Article fields of a page; null if nothing on it reads like content."""
     if not html:
@@ -132,17 +151,8 @@ def extract(html: str | None) -> dict[str, str] | None:
     tree.close()
     _prune(tree.root)
     scores: dict[_Node, float] = {}
-    stack: list[_Node] = [tree.root]
-    paragraphs = []
-    while stack:
-        n = stack.pop()
-        if n.tag in ("p", "pre", "td", "blockquote"):
-            paragraphs.append(n)
-        elif n.tag in ("div", "article", "section", "body") and sum(len(c.strip()) for c in n.children if isinstance(c, str)) >= 25:
-            paragraphs.append(n)
-        stack.extend(c for c in n.children if not isinstance(c, str))
-    for p in paragraphs:
-        own = _tidy(p.text())
+    paragraphs = _paragraphs(tree.root)
+    for p, own in paragraphs:
         if len(own) < 25:
             continue
         points = 1 + own.count(",") + min(len(own) // 100, 3)
@@ -157,7 +167,7 @@ def extract(html: str | None) -> dict[str, str] | None:
     if not content:
         return None
     meta = lambda *names: next((tree.meta[n].strip() for n in names if tree.meta.get(n, "").strip()), "")
-    first = next((t for p in sorted(paragraphs, key=lambda p: 0) if (t := _tidy(p.text())) and (best is None or t in content)), "")
+    first = next((own for _, own in paragraphs if own and (best is None or own in content)), "")
     return {
         "siteName": meta("og:site_name"),
         "publishedTime": meta("article:published_time", "datepublished", "date"),
@@ -172,15 +182,23 @@ def extract(html: str | None) -> dict[str, str] | None:
 _FIELDS = ["siteName", "publishedTime", "title", "byline", "lang", "excerpt", "textContent"]
 
 
+def _extracted(html: str | None) -> dict[str, str] | None:
+    try:
+        return extract(html)
+    except Exception:  # a page that cannot be read is left out like one that cannot be fetched
+        log.warning("a page of %d characters could not be read", len(html or ""), exc_info=True)
+        return None
+
+
 def articles(pages: DataFrame) -> DataFrame:
-    """``url, thumbnail, html`` to articles; pages without content are left out. Nothing is
+    """``url, thumbnail, html`` to articles; pages without content, and pages that cannot be read, are left out. Nothing is
     shuffled; write filters on pages before this, Catalyst does not move them through it."""
     if "thumbnail" not in pages.columns:
         pages = pages.withColumn("thumbnail", F.lit(None).cast("string"))
 
     def run(batches):
         for b in batches:
-            got = [extract(h) for h in b.column("html").to_pylist()]
+            got = [_extracted(h) for h in b.column("html").to_pylist()]
             keep = [i for i, g in enumerate(got) if g]
             at = pa.array(keep, pa.int64())
             columns = [b.column("url").take(at), b.column("thumbnail").take(at)] + [pa.array([got[i][f] for i in keep], pa.string()) for f in _FIELDS]

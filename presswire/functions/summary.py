@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..settings import Settings
+from ..sources.http import post
 
 MOST_WORDS = 250
 LEAST_WORDS = 150
+#: Words of a stretch that counts as one sentence at most.
+PIECE = 50
 
 
 def chat_request(text: str, model: str) -> dict:
@@ -21,11 +28,15 @@ def chat_request(text: str, model: str) -> dict:
 
 def extractive(text: str) -> str:
     """The sentences with the most frequent words, in their order, up to MOST_WORDS words; a
-    shorter text is its own summary."""
+    shorter text is its own summary. Of a text without sentence marks, or with sentences of over
+    PIECE words, pieces of so many words count as sentences."""
     text = " ".join((text or "").split())
     if len(text.split(" ")) <= MOST_WORDS:
         return text
-    sentences = re.findall(r"[^.!?]+[.!?]*\s*", text)
+    sentences = []
+    for s in re.findall(r"[^.!?]+[.!?]*\s*", text):
+        words = s.split()
+        sentences += [" ".join(words[i : i + PIECE]) for i in range(0, len(words), PIECE)]
     count = Counter(w for w in re.findall(r"\w+", text.lower()) if len(w) > 3)
     words = [re.findall(r"\w+", s.lower()) for s in sentences]
     value = [sum(count[w] for w in own) / (len(own) + 1) for own in words]
@@ -35,11 +46,52 @@ def extractive(text: str) -> str:
         if total + n <= MOST_WORDS:
             chosen.add(i)
             total += n
-    if not chosen:
-        return " ".join(text.split(" ")[:MOST_WORDS])
     return " ".join(sentences[i].strip() for i in sorted(chosen))
 
 
+class ChatClient:
+    """A summariser that asks a chat service: a JSON request by POST, the answer's message content
+    parsed by :func:`parse_answer`. Make it on the executors (``make=lambda: ChatClient(...)``)."""
+
+    def __init__(self, settings: Settings, send: Callable[[str, bytes, dict[str, str], float], str] = post):
+        self.settings, self.send = settings, send
+
+    def __call__(self, text: str) -> str:
+        s = self.settings
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {s.chat_key}"} if s.chat_key else {})
+        body = json.dumps(chat_request(text, s.chat_model) | {"stream": False}).encode()
+        return parse_answer(json.loads(self.send(f"{s.chat_host}/api/chat", body, headers, s.timeout))["message"]["content"])
+
+
+def parse_answer(content: str) -> str:
+    """The text of an answer in JSON: the member ``summary``, or else all texts in it in their order."""
+
+    def texts(x):
+        if isinstance(x, str):
+            yield x
+        for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+            yield from texts(y)
+
+    value = json.loads(content)
+    if isinstance(value, dict) and isinstance(value.get("summary"), str):
+        return value["summary"]
+    return "\n\n".join(texts(value))
+
+
+def parse_answers(df: DataFrame, content: str = "content", to: str = "summary") -> DataFrame:
+    """``df`` with the member ``summary`` of its answers in JSON in ``to``; null where there is none."""
+    return df.withColumn(to, F.from_json(F.col(content), "summary string")["summary"])
+
+
+def rules(summary: Column) -> Column:
+    """Whether a summary keeps the rules: ``words`` (LEAST_WORDS to MOST_WORDS), ``paragraphs`` (one
+    or two) and ``dates`` (no numeric date in another form than DD.MM.YYYY)."""
+    words = F.size(F.filter(F.split(summary, r"\s+"), lambda w: w != ""))
+    paragraphs = F.size(F.filter(F.split(summary, r"\n+"), lambda p: F.trim(p) != ""))
+    other = r"\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b|\b(\d\.\d{1,2}|\d{1,2}\.\d)\.\d{2,4}\b|\b\d{1,2}\.\d{1,2}\.\d{2}\b"
+    return F.struct(words.between(LEAST_WORDS, MOST_WORDS).alias("words"), paragraphs.between(1, 2).alias("paragraphs"), (~summary.rlike(other)).alias("dates"))
+
+
 def summarize(df: DataFrame, text: str = "content", to: str = "summary", make: Callable[[], Callable[[str], str]] = lambda: extractive) -> DataFrame:
     """``df`` with a summary of ``text``. ``make`` builds the summariser once in each task, for
     instance a client of a chat service; its failures give null summaries."""

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import NUMERIC_TITLE, SINGLE_CATEGORY, BadRequest
 from ..functions.text import BLANK_CHARACTERS, contains_any
 
 #: Keywords up to which a predicate of literals is used; beyond, a semi join with their table.
 LITERALS = 32
+#: Keywords of a request at most: their table is broadcast.
+MOST_KEYWORDS = 100_000
 
 
 def _blank(word: str) -> bool:
@@ -25,7 +30,7 @@ def _values(category: Column, mode: str) -> Column:
     if mode == "compat":
         plain = F.filter(category, lambda c: c["_domain"].isNull())
         single = (F.size(category) == 1) & (F.size(plain) == 0)
-        plain = F.when(single, F.raise_error(F.lit("a single category with attributes")).cast("array<struct<_VALUE:string,_domain:string>>")).otherwise(plain)
+        plain = F.when(single, F.raise_error(F.lit(SINGLE_CATEGORY)).cast("array<struct<_VALUE:string,_domain:string>>")).otherwise(plain)
         return F.transform(plain, lambda c: F.lower(c["_VALUE"]))
     return F.transform(category, lambda c: F.lower(c["_VALUE"]))
 
@@ -35,15 +40,19 @@ def keyword_match(items: DataFrame, keywords: list[str], mode: str = "intended",
 
     A blank first keyword matches nothing. ``intended`` leaves other blank keywords out and tests
     items without categories too; ``compat`` lets a blank keyword match everything, skips items
-    without categories, and sees only categories without attributes. ``description`` tests the
-    description as well.
+    without categories, sees only categories without attributes, and fails (see :class:`ItemError`)
+    on an item with categories whose title is a number or whose only category has attributes.
+    ``description`` tests the description as well.
     """
+    if len(keywords) > MOST_KEYWORDS:
+        raise BadRequest(f"{len(keywords)} keywords; {MOST_KEYWORDS} are allowed.")
     if not keywords or _blank(keywords[0]):
         return items.limit(0)
     words = [k.lower() for k in keywords if mode == "compat" or not _blank(k)]
     has = F.col(category).isNotNull() & (F.size(category) > 0)
     if mode == "compat":
-        items = items.where(has)
+        number = F.col(title).rlike(r"^\s*[-+]?\d+(\.\d+)?\s*$")
+        items = items.where(has & F.when(number, F.raise_error(F.lit(NUMERIC_TITLE)).cast("boolean")).otherwise(F.lit(True)))
     texts = [F.lower(F.col(c)) for c in (title, *(["description"] if description else []))]
     values = _values(F.col(category), mode)
     if len(words) <= literals:
@@ -54,11 +63,13 @@ def keyword_match(items: DataFrame, keywords: list[str], mode: str = "intended",
             found = found | F.coalesce(F.exists(values, _has(w)), F.lit(False))
         return items.where(found)
     table = items.sparkSession.createDataFrame([(w,) for w in sorted(set(words))], "__word string")
-    word = F.col("__word")
-    on = F.coalesce(F.exists(values, lambda v: F.contains(v, word)), F.lit(False))
-    for t in texts:
-        on = on | F.coalesce(F.contains(t, word), F.lit(False))
-    return items.join(F.broadcast(table), on, "left_semi")  # a request's keywords: a table of known size
+    word, lowered = F.col("__word"), {f"__text{i}": t for i, t in enumerate(texts)}
+    # what is compared is made once for each row, not for each pair
+    made = items.withColumns({**lowered, "__values": values})
+    on = F.coalesce(F.exists("__values", lambda v: F.contains(v, word)), F.lit(False))
+    for t in lowered:
+        on = on | F.coalesce(F.contains(F.col(t), word), F.lit(False))
+    return made.join(F.broadcast(table), on, "left_semi").drop(*lowered, "__values")  # MOST_KEYWORDS rows at most
 
 
 def multiplicity(title: Column, values: Column, keywords: list[str]) -> Column:
@@ -98,8 +109,20 @@ def without_topics(df: DataFrame, topics: list[str], columns: tuple[str, ...] =
 
 
 def in_language(df: DataFrame, language: str = "en", column: str = "lang") -> DataFrame:
-    """Rows in the language; a regional tag counts as its language."""
-    return df.where(F.split_part(F.lower(column), F.lit("-"), F.lit(1)) == language.lower())
+    """Rows in the language, case ignored; a regional tag counts as its language."""
+    return df.where(speaks(F.col(column), language))
+
+
+def speaks(column: Column, language: str) -> Column:
+    """Is the tag that of the language, or of a region of it? All spellings of a short code are
+    listed, so that the filter reaches the scan."""
+    if len(language) > 3:
+        return F.split_part(F.lower(column), F.lit("-"), F.lit(1)) == language.lower()
+    forms = sorted({"".join(x) for x in itertools.product(*[(c.lower(), c.upper()) for c in language])})
+    found = column.isin(*forms)
+    for f in forms:
+        found = found | column.startswith(f"{f}-")
+    return found
 
 
 def in_timeframe(df: DataFrame, column: Column, start=None, end=None) -> DataFrame:

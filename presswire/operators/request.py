@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BadRequest
-from ..schemas import ARTICLE
+from ..schemas import ARTICLE, REQUEST
 
 ALLOWED = ("keywords", "category", "undesiredTopics", "language", "timeframe")
 #: Languages that may be asked for if they are checked (fixed values).
@@ -60,9 +61,28 @@ class NewsRequest:
         return cls(keywords, category, words("undesiredTopics", None), language, frame.get("start"), frame.get("end"), mode)
 
 
-def response(articles: DataFrame) -> DataFrame:
-    """``totalResults, news`` in one row. For an answer to a request: its articles are few."""
-    return articles.agg(F.count(F.lit(1)).alias("totalResults"), F.collect_list(F.struct(*ARTICLE.names)).alias("news"))
+def parse_json(text: str | bytes | None) -> Any:
+    """The value of a JSON body; one that is not JSON is a bad request, an empty one none."""
+    try:
+        return json.loads(text) if text and text.strip() else None
+    except ValueError as e:
+        raise BadRequest(f"The body is not JSON: {e}") from None
+
+
+def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
+    """``df`` with its JSON bodies as ``request`` (of the schema REQUEST); null where a body is not JSON."""
+    parsed = F.from_json(F.col(body), REQUEST, {"mode": "PERMISSIVE"})
+    return df.withColumn("request", F.when(F.try_parse_json(F.col(body)).isNotNull(), parsed))
+
+
+#: Articles of one answer at most.
+MOST_ARTICLES = 1_000
+
+
+def response(articles: DataFrame, most: int = MOST_ARTICLES) -> DataFrame:
+    """``totalResults, news`` in one row: the number of all articles, and ``most`` of them at most."""
+    total = articles.agg(F.count(F.lit(1))).scalar()
+    return articles.limit(most).agg(F.collect_list(F.struct(*ARTICLE.names)).alias("news")).select(total.alias("totalResults"), "news")
 
 
 def to_json(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.readability import articles
 from ..functions.summary import summarize
-from ..functions.text import BLANK_CHARACTERS, pub_date
+from ..functions.text import BLANK_CHARACTERS, pub_date, url_key
 from ..operators import match
-from ..operators.request import NewsRequest, response
-from ..sources import catalogue, rss
+from ..operators.request import MOST_ARTICLES, NewsRequest
+from ..sources import catalogue, http, rss
+
+log = logging.getLogger(__name__)
 
 
 def matched_items(items: DataFrame, request: NewsRequest) -> DataFrame:
@@ -25,32 +28,72 @@ def matched_items(items: DataFrame, request: NewsRequest) -> DataFrame:
     return match.in_timeframe(hits, pub_date(F.col("pubDate")), request.start, request.end)
 
 
+def wanted_pages(items: DataFrame, request: NewsRequest) -> DataFrame:
+    """``key, url, thumbnail`` of wanted items, one row for each URL key: of items with one key
+    that with the smallest link, and among these one with a thumbnail, the smallest."""
+    asked = match.crawl_requests(matched_items(items, request)).select("url", F.col("userData.thumbnail").alias("thumbnail"))
+    order = F.struct("url", F.col("thumbnail").isNull(), "thumbnail")
+    one = asked.groupBy(url_key(F.col("url")).alias("key")).agg(F.min_by(F.struct("url", "thumbnail"), order).alias("r"))
+    return one.select("key", "r.url", "r.thumbnail")
+
+
 def find_articles(items: DataFrame, pages: DataFrame, request: NewsRequest) -> DataFrame:
-    """Articles of wanted items. ``pages``: ``url, html``, fetched or stored."""
-    wanted = matched_items(items, request).select(F.col("link").alias("url"), "thumbnail").dropDuplicates(["url"])
-    found = articles(pages.select("url", "html").join(wanted, "url"))
-    if request.mode == "intended" and request.language:
-        found = found.where((F.col("lang") == "") | F.lower("lang").startswith(request.language.lower()))
-    return found
+    """Articles of wanted items, with the items' links and thumbnails. ``pages``: ``url, html``,
+    stored pages, which items find by URL key; of pages with one key that with
+    the smallest url, and among these the smallest text."""
+    wanted = wanted_pages(items, request)
+    p = pages.select(url_key(F.col("url")).alias("key"), F.col("url").alias("page"), "html").join(wanted, "key")
+    found = p.groupBy("key").agg(F.min_by(F.struct("url", "thumbnail", "html"), F.struct("page", "html")).alias("r")).select("r.*")
+    return _speaking(articles(found), request)
+
+
+def fetch_articles(items: DataFrame, request: NewsRequest, transport: http.Transport = http.urlopen) -> DataFrame:
+    """Articles of wanted items; their pages are fetched. Pages that fail are left out."""
+    fetched = http.fetch(wanted_pages(items, request).select("url", "thumbnail"), transport, to="html")
+    return _speaking(articles(http.split_failures(fetched)[0]), request)
+
+
+def _speaking(found: DataFrame, request: NewsRequest) -> DataFrame:
+    """``intended`` keeps the articles in the request's language and those without one."""
+    if request.mode != "intended" or not request.language:
+        return found
+    return found.where((F.col("lang") == "") | match.speaks(F.col("lang"), request.language))
 
 
-def get_news(spark: SparkSession, body: dict[str, Any], feeds: DataFrame, pages: DataFrame, mode: str = "intended", summary: bool = False) -> dict[str, Any] | list:
-    """Answer a request. ``feeds``: ``url, body`` of feeds (:mod:`presswire.sources.http` fetches
-    them); only those of the request's categories are parsed. Without a match the answer is ``[]``."""
+def get_news(
+    spark: SparkSession,
+    body: dict[str, Any] | None,
+    feeds: DataFrame | None = None,
+    pages: DataFrame | None = None,
+    mode: str = "intended",
+    summary: bool = False,
+    transport: http.Transport = http.urlopen,
+    most: int = MOST_ARTICLES,
+) -> dict[str, Any] | list:
+    """Answer a request. ``feeds`` (``url, body``) and ``pages`` (``url, html``) are tables of what
+    is stored; without them the feeds of the request's categories, and then the pages of matching
+    items, are fetched by ``transport``. Without a match the answer is ``[]``. ``totalResults``
+    counts all articles; ``news`` has ``most`` of them at most. For the articles as a table see
+    :func:`find_articles`."""
     request = NewsRequest.parse(body, mode)
     lang = request.language or "en" if mode == "intended" else "en"
     urls = catalogue.category_links(spark, request.category, lang=lang if lang in catalogue.FEEDS else "en")
     if not request.keywords[0].strip(BLANK_CHARACTERS):
         return []
     wanted = spark.createDataFrame([(u,) for u in dict.fromkeys(urls)], "url string")
-    items = rss.items(feeds.join(F.broadcast(wanted), "url", "left_semi"), mode=mode).persist()
+    own = http.split_failures(http.fetch(wanted, transport, to="body"))[0] if feeds is None else feeds.join(F.broadcast(wanted), "url", "left_semi")
+    items = rss.items(own, mode=mode).persist()
     try:
         if match.keyword_match(items, request.keywords, mode).isEmpty():
+            log.info("no item of %d feeds matches", len(urls))
             return []
-        found = find_articles(items, pages, request)
-        if summary:
-            rows = [r.asDict() for r in summarize(found).collect()]
-            return {"totalResults": len(rows), "news": rows}
-        return response(found).first().asDict(recursive=True)
+        found = fetch_articles(items, request, transport) if pages is None else find_articles(items, pages, request)
+        found = found.persist()
+        try:
+            some = found.limit(most)
+            rows = (summarize(some) if summary else some).collect()
+            return {"totalResults": found.count(), "news": [r.asDict(recursive=True) for r in rows]}
+        finally:
+            found.unpersist()
     finally:
         items.unpersist()

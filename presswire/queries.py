@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.readability import articles
-from .functions.summary import summarize
+from .functions.summary import MOST_WORDS, rules, summarize
 from .functions.text import day, or_default, pub_date, trim, url_key
 from .operators import match
-from .operators.request import response, to_json
+from .operators.request import MOST_ARTICLES, NewsRequest, parse_requests, response, to_json
+from .plans.news import find_articles
 from .sources import catalogue, rss
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,7 +143,8 @@ def rss_thumbnail(spark, sf_dir):
 @query("SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'https://img.test/' || page_id END AS thumbnail FROM pages WHERE url IS NOT NULL AND url <> ''")
 def link_present(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("link"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://img.test/"), F.col("page_id").cast("string"))).alias("thumbnail"))
-    return match.linked(p).select("page_id", F.col("link").alias("url"), "thumbnail")
+    r = match.crawl_requests(p).select("url", F.col("userData.thumbnail").alias("thumbnail"))
+    return r.join(p.select("page_id", F.col("link").alias("url")), "url").select("page_id", "url", "thumbnail")
 
 
 _KEY = r"""
@@ -162,21 +164,45 @@ def url_dedup(spark, sf_dir):
     return p.select("page_id", url_key(F.concat("url", more)).alias("url_key")).groupBy("url_key").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+_PLAIN_TEXT = "replace(replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+_TITLE = f"trim({_PLAIN_TEXT.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")})"
+_LANG = "regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1)"
+_BODY = "regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|<footer>|$)', 1), '</?(p|h1|br)>', chr(10), 'g'), '</?b>', '', 'g')"
+_LINES = f"list_filter(list_transform(string_split({_PLAIN_TEXT.format(_BODY)}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '')"
+_ARTICLES = f"""
+WITH a AS (SELECT url, {_TITLE} AS title, {_LANG} AS lang, {_LINES} AS lines FROM pages)
+SELECT url, CAST(NULL AS VARCHAR) AS thumbnail, '' AS source, '' AS "publishedAt", title, '' AS author, lang, lines[2] AS description, array_to_string(lines, chr(10)) AS content FROM a
+"""
+
+
+@query(f"SELECT url, {_TITLE} AS title, {_LANG} AS lang FROM pages")
 def html_title_lang(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1).alias("lang"))
+    return articles(table(spark, sf_dir, "pages")).select("url", "title", "lang")
 
 
-@query()
+@query(_ARTICLES)
 def article_extract(spark, sf_dir):
     return articles(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT p.page_id, p.url, i.p_name AS title, 'https://img.test/' || i.p_partkey AS thumbnail FROM pages p JOIN part i ON p.page_id = i.p_partkey")
+_JOINED = rf"""
+WITH p AS (SELECT page_id, url, html, split_part(url, '#', 1) AS u, regexp_replace(split_part(url, '#', 1), '/+(\?|$)', '\1') AS k FROM pages),
+m AS (SELECT k, arg_min({{'u': u, 't': 'https://img.test/' || p_partkey}}, (u || CASE WHEN contains(u, '?') THEN '&' ELSE '?' END, 'https://img.test/' || p_partkey)) AS r FROM p JOIN part ON page_id = p_partkey WHERE contains(lower(p_name), 'a') GROUP BY k),
+g AS (SELECT k, arg_min(html, (url, html)) AS html FROM p GROUP BY k)
+SELECT r.u AS url, {_TITLE} AS title, {_LANG} AS lang, r.t AS thumbnail FROM m JOIN g USING (k)
+"""
+
+
+@query(_JOINED)
 def item_page_join(spark, sf_dir):
-    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_name").alias("title"), F.concat(F.lit("https://img.test/"), F.col("p_partkey").cast("string")).alias("thumbnail"))
-    return table(spark, sf_dir, "pages").select("page_id", "url").join(items, "page_id")
+    """Items that link to pages by another form of their URL, through matching to articles."""
+    pages = table(spark, sf_dir, "pages")
+    plain = F.split_part("url", F.lit("#"), F.lit(1))
+    links = pages.select(F.col("page_id").alias("p_partkey"), F.concat(plain, F.when(F.contains(plain, F.lit("?")), "&").otherwise("?"), F.lit("utm_source=feed#x")).alias("link"))
+    items = part_items(spark, sf_dir).join(links, "p_partkey").withColumns({"thumbnail": F.concat(F.lit("https://img.test/"), F.col("p_partkey").cast("string")), "pubDate": F.lit(None).cast("string")})
+    items = items.withColumn("category", F.lit(None).cast(items.schema["category"].dataType))
+    found = find_articles(items, pages, NewsRequest(["A"], ["world"]))
+    return found.select(F.regexp_replace("url", r"[?&]utm_source=feed#x$", "").alias("url"), "title", "lang", "thumbnail")
 
 
 @query("SELECT doc_id, source FROM documents WHERE NOT (contains(lower(text), 'license') OR contains(lower(text), 'trash'))")
@@ -194,7 +220,7 @@ def timeframe_filter(spark, sf_dir):
     return match.in_timeframe(table(spark, sf_dir, "events"), F.col("ts"), "2024-01-05 00:00:00", "2024-01-12 12:00:00").select("event_id", "user_id")
 
 
-@query("SELECT count(*) AS \"totalResults\", CAST(count(*) AS INTEGER) AS n_news FROM documents WHERE contains(lower(text), 'license')")
+@query(f"SELECT count(*) AS \"totalResults\", CAST(least(count(*), {MOST_ARTICLES}) AS INTEGER) AS n_news FROM documents WHERE contains(lower(text), 'license')")
 def response_totals(spark, sf_dir):
     d = match.keyword_match(documents(spark, sf_dir), ["license"])
     none = F.lit("")
@@ -212,9 +238,31 @@ def limit_cap(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", "source").orderBy("doc_id").limit(10)
 
 
-@query()
+_PLAIN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_N_WORDS = f"len(string_split({_PLAIN}, ' '))"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_N_WORDS} <= {MOST_WORDS} THEN {_PLAIN} END AS whole, true AS in_bounds, true AS from_text FROM documents")
 def summary(spark, sf_dir):
-    return summarize(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))).select("doc_id", "summary")
+    """Short texts are their own summary; of others it has words of the text, at most MOST_WORDS."""
+    d = summarize(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    n, all_ = F.size(words(F.col("summary"))), words(F.col("content"))
+    whole = F.size(all_) <= MOST_WORDS
+    bounds = (n <= MOST_WORDS) & (whole | rules(F.col("summary"))["paragraphs"])
+    parts = lambda c: F.split(c, r"(?U)\W+")
+    return d.select("doc_id", F.when(whole, F.col("summary")).alias("whole"), bounds.alias("in_bounds"), (F.size(F.array_except(parts(F.col("summary")), F.array_append(parts(F.col("content")), F.lit("")))) == 0).alias("from_text"))
+
+
+@query("SELECT doc_id, source, source || '-' || lang AS keyword, CASE WHEN doc_id % 3 = 2 THEN 0 ELSE 2 END AS n_keywords, doc_id % 3 = 1 AS is_json, CASE WHEN doc_id % 3 = 1 THEN lang END AS language FROM documents WHERE false UNION ALL SELECT doc_id, source, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE source END, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 2 END, doc_id % 3 <> 2, CASE WHEN doc_id % 3 = 1 THEN lang END FROM documents")
+def json_requests(spark, sf_dir):
+    """JSON bodies of requests, some without a language and some broken."""
+    d = table(spark, sf_dir, "documents")
+    keywords = F.concat(F.lit('{"keywords": ["'), F.col("source"), F.lit('", "x"], "category": ["world"]'))
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(keywords, F.lit("}"))).when(F.col("doc_id") % 3 == 1, F.concat(keywords, F.lit(', "language": "'), F.col("lang"), F.lit('"}'))).otherwise(keywords)
+    r = parse_requests(d.withColumn("body", body))
+    words = F.col("request.keywords")
+    return r.select("doc_id", "source", F.get(words, 0).alias("keyword"), F.when(words.isNotNull(), F.size(words)).alias("n_keywords"), F.col("request").isNotNull().alias("is_json"), F.col("request.language").alias("language"))
 
 
 @query("SELECT event_id, date_trunc('second', ts) AS published, strftime(ts, '%d.%m.%Y') AS day FROM events")

@@ -5,6 +5,9 @@ The transport is a function from URL and timeout to text, so tests need no netwo
 
 from __future__ import annotations
 
+import logging
+import math
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -16,15 +19,34 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import url_key
 
-#: Requests under way at once over the whole job, tries after the first, seconds for each try.
-CONCURRENCY, RETRIES, TIMEOUT = 50, 1, 30.0
+#: Requests under way at once over the whole job, at least and at most; tries after the first;
+#: seconds for each try, from its start to the last byte.
+LEAST, CONCURRENCY, RETRIES, TIMEOUT = 20, 50, 1, 30.0
+
+log = logging.getLogger(__name__)
 
 Transport = Callable[[str, float], str]
 
 
 def urlopen(url: str, timeout: float) -> str:
+    end = time.monotonic() + timeout
     with urllib.request.urlopen(url, timeout=timeout) as r:  # noqa: S310
-        return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+        parts = []
+        while part := r.read1(1 << 16):
+            parts.append(part)
+            if time.monotonic() > end:
+                raise TimeoutError(f"no end after {timeout:g} s")
+        return b"".join(parts).decode(r.headers.get_content_charset() or "utf-8", "replace")
+
+
+def post(url: str, body: bytes, headers: dict[str, str], timeout: float) -> str:
+    with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as r:  # noqa: S310
+        return r.read().decode()
+
+
+def workers(tasks: int) -> int:
+    """Requests that one of ``tasks`` tasks has under way at once."""
+    return max(1, math.ceil(LEAST / tasks), CONCURRENCY // tasks)
 
 
 def get(url: str, transport: Transport = urlopen, retries: int = RETRIES, timeout: float = TIMEOUT) -> tuple[str | None, str | None]:
@@ -35,6 +57,7 @@ def get(url: str, transport: Transport = urlopen, retries: int = RETRIES, timeou
             return transport(url, timeout), None
         except Exception as e:
             error = f"{type(e).__name__}: {e}"
+    log.warning("%s failed: %s", url, error)
     return None, error
 
 
@@ -56,7 +79,7 @@ def source(transport: Transport = urlopen, name: str = "presswire_http") -> type
             return [Batch(self.urls[i::n]) for i in range(n)]
 
         def read(self, partition):
-            with ThreadPoolExecutor(max(1, CONCURRENCY // self.parts)) as pool:
+            with ThreadPoolExecutor(workers(self.parts)) as pool:
                 for url, (body, error) in zip(partition.urls, pool.map(lambda u: get(u, transport), partition.urls), strict=True):
                     yield url, body, error
 
@@ -76,7 +99,7 @@ def source(transport: Transport = urlopen, name: str = "presswire_http") -> type
 
 def fetch(requests: DataFrame, transport: Transport = urlopen, tasks: int = 10, url: str = "url", to: str = "html") -> DataFrame:
     """``requests`` with the body of their URL in ``to`` and ``error``; one request for each URL
-    key. Filter and deduplicate happen before; persist the result if it is used twice."""
+    key. Filter before, and write or persist the result if it is used twice."""
     once = requests.withColumn("__key", url_key(F.col(url))).dropDuplicates(["__key"]).drop("__key").repartition(tasks)
     names = once.columns
     schema = once.withColumn(to, F.lit("").cast("string")).withColumn("error", F.lit("").cast("string")).schema
@@ -84,7 +107,7 @@ def fetch(requests: DataFrame, transport: Transport = urlopen, tasks: int = 10,
         f.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(max(1, CONCURRENCY // tasks)) as pool:
+        with ThreadPoolExecutor(workers(tasks)) as pool:
             for b in batches:
                 got = list(pool.map(lambda u: get(u, transport), b.column(url).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], [*names, to, "error"])

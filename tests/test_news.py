@@ -1,13 +1,18 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from presswire.errors import BadRequest, NoCategory, UnknownCategories
+from presswire import service
+from presswire.errors import NUMERIC_TITLE, SINGLE_CATEGORY, BadRequest, NoCategory, UnknownCategories
+from presswire.functions import readability
 from presswire.functions.readability import extract
-from presswire.functions.summary import MOST_WORDS, extractive
+from presswire.functions.summary import MOST_WORDS, ChatClient, extractive, parse_answer, parse_answers, rules, summarize
 from presswire.functions.text import pub_date, trim, url_key
 from presswire.operators import match
-from presswire.operators.request import NewsRequest
+from presswire.operators.request import NewsRequest, parse_json, parse_requests, response
 from presswire.plans.news import get_news
+from presswire.settings import Settings
 from presswire.sources import catalogue, http, rss
 
 WORLD, PRESS, SPORT = (catalogue.FEEDS["en"][c] for c in ("world", "press", "sport"))
@@ -151,3 +156,201 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("alerts").count() == 3
+
+
+HTML = "<html lang='en'><title>{}</title><body><article><p>" + "Words of a story, told at length. " * 10 + "</p></article></body></html>"
+
+
+def test_get_news_fetches(spark):
+    """Feeds and pages as a network would give them; one feed and one page are down."""
+
+    def transport(url, timeout):
+        if url == WORLD[0]:
+            return FEEDS[0]
+        if url.startswith("https://n.test/") and "Domain" not in url:
+            return HTML.format(url)
+        raise OSError("down")
+
+    ask = {"keywords": ["vote"], "category": ["world"]}
+    got = get_news(spark, ask, transport=transport)
+    assert got["totalResults"] == 2 and {a["url"] for a in got["news"]} == {"https://n.test/Plain-Vote", "https://n.test/No-category-vote"}
+    some = get_news(spark, ask, transport=transport, most=1)
+    assert some["totalResults"] == 2 and len(some["news"]) == 1
+    assert get_news(spark, ask, transport=lambda u, t: 1 / 0) == []
+
+
+def test_find_articles_by_key(spark):
+    """Items find pages by URL key; of equal keys the choice is defined; tags of a region count as the language."""
+    items = spark.createDataFrame(
+        [("vote a", None, "HTTPS://n.test/a/?utm_source=x#top"), ("vote b", "t2", "https://n.test/a"), ("vote c", "t1", "https://n.test/a"), ("vote d", "t", "https://n.test/d?b=1&a=2"), ("vote e", "t", ""), ("vote f", "t", "https://n.test/none")],
+        "title string, thumbnail string, link string",
+    ).selectExpr("*", "cast(null as string) as pubDate", "cast(null as array<struct<_VALUE:string,_domain:string>>) as category")
+    pages = spark.createDataFrame([("https://n.test/a", HTML.format("A")), ("https://n.test/a/", HTML.format("B")), ("https://n.test/d?a=2&b=1", HTML.replace("'en'", "'EN-gb'").format("D"))], "url string, html string")
+    from presswire.plans.news import find_articles
+
+    got = lambda **k: sorted((r.url, r.title, r.thumbnail) for r in find_articles(items, pages, NewsRequest(["vote"], ["world"], **k)).collect())
+    a = ("HTTPS://n.test/a/?utm_source=x#top", "A", None)
+    d = ("https://n.test/d?b=1&a=2", "D", "t")
+    assert got() == got(language="en") == [a, d] and got(language="fr") == []
+
+
+def test_service(spark):
+    feeds = spark.createDataFrame([(WORLD[0], FEEDS[0])], "url string, body string")
+    pages = spark.createDataFrame([("https://n.test/Plain-Vote", HTML.format("P"))], "url string, html string")
+    ask = lambda body, **k: service.handle(spark, "POST", "/api/news", body if isinstance(body, str) else json.dumps(body), feeds, pages, **k)
+    status, text = ask({"keywords": ["politics"], "category": ["world"]})
+    assert status == 200 and json.loads(text)["news"][0]["title"] == "P"
+    assert ask({"keywords": ["zz"], "category": ["world"]}) == (200, "[]")
+    for body, message in (
+        ({"category": ["world"]}, "No keywords were inserted, please enter at least one."),
+        ({"keywords": [], "category": ["world"]}, "No keywords were inserted, please enter at least one."),
+        ({"keywords": ["a"]}, "No categories selected, please select at least one category."),
+        ({"keywords": ["a"], "category": []}, "No categories selected, please select at least one category."),
+        ({"keywords": ["a"], "category": ["art"]}, "None of theses categories were found: art"),
+        ({"keywords": ["a"], "category": ["world"], "page": 1}, "Filter page is not authorized."),
+    ):
+        assert ask(body) == (400, json.dumps({"error": message}))
+    assert ask("{broken")[0] == ask("")[0] == 400
+    single = spark.createDataFrame([(WORLD[0], feed(item("a", '<category domain="d">x</category>'), item("b")))], "url string, body string")
+    number = spark.createDataFrame([(WORLD[0], feed(item("2024", "<category>x</category>"), item("b")))], "url string, body string")
+    for bad, message in ((single, SINGLE_CATEGORY), (number, NUMERIC_TITLE)):
+        body = json.dumps({"keywords": ["x"], "category": ["world"]})
+        assert service.handle(spark, "POST", "/api/news", body, bad, pages, "compat") == (500, json.dumps({"error": message}))
+        assert service.handle(spark, "POST", "/api/news", body, bad, pages)[0] == 200
+    assert service.handle(spark, "GET", "/healthcheck") == (200, '{"status": "ok"}')
+    assert set(json.loads(service.handle(spark, "GET", "/docs")[1])) >= {"request", "response", "article"}
+    assert service.handle(spark, "GET", "/else")[0] == 404
+
+
+def test_server(spark):
+    import threading
+    import urllib.request
+
+    s = service.server(spark, Settings(port=0))
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{s.server_address[1]}/healthcheck", timeout=60) as r:
+        assert r.status == 200 and json.load(r) == {"status": "ok"}
+    s.shutdown()
+    s.server_close()
+
+
+def test_settings():
+    s = Settings.of({"PORT": "80", "PRESSWIRE_CHAT_KEY": "secret", "PRESSWIRE_TIMEOUT": ""})
+    assert s.port == 80 and s.timeout == Settings().timeout and s.chat_key == "secret" and "secret" not in repr(s)
+
+
+def test_request_messages():
+    for body, message in (({"keywords": ["a"], "category": ["w"], "language": 1}, "language must be a string."), ({"keywords": ["a"], "category": "w"}, "category must be an array of strings."), ({"keywords": ["a"], "category": ["w"], "timeframe": []}, None), ({"keywords": ["a"], "category": ["w"], "timeframe": "x"}, 'timeframe must be an object with "start" and "end".')):
+        if message is None:
+            assert NewsRequest.parse(body).start is None
+        else:
+            with pytest.raises(BadRequest, match=f"^{message}$"):
+                NewsRequest.parse(body)
+    for language in ("en", "fr", "es", "ch", "ru", "", None):
+        assert NewsRequest.parse({"keywords": ["a"], "category": ["w"], "language": language}, check_language=True).language == language
+    with pytest.raises(BadRequest, match="^Language de is not authorized.$"):
+        NewsRequest.parse({"keywords": ["a"], "category": ["w"], "language": "de"}, check_language=True)
+    with pytest.raises(BadRequest):
+        parse_json("{")
+    assert parse_json('{"a": 1}') == {"a": 1} and parse_json("") is parse_json(None) is None
+
+
+def test_json_requests(spark):
+    bodies = ['{"keywords": ["a", "b"], "timeframe": {"start": "s"}}', "{", None, "", "[]", '{"keywords": "a"}']
+    got = parse_requests(spark.createDataFrame(list(enumerate(bodies)), "i int, body string")).orderBy("i").collect()
+    assert got[0].request.keywords == ["a", "b"] and got[0].request.timeframe.start == "s" and got[0].request.language is None
+    assert [r.request for r in got[1:4]] == [None] * 3 and got[5].request.keywords is None
+
+
+def test_response(spark):
+    a = spark.createDataFrame([("u",) * 9] * 5, ", ".join(f"{c} string" for c in ("url", "thumbnail", "source", "publishedAt", "title", "author", "lang", "description", "content")))
+    r = response(a, most=2).first()
+    assert r.totalResults == 5 and len(r.news) == 2
+    r = response(a.limit(0)).first()
+    assert r.totalResults == 0 and r.news == []
+
+
+def test_description(items, spark):
+    df = spark.createDataFrame([("t", "about a Vote", None)], "title string, description string, category array<struct<_VALUE:string,_domain:string>>")
+    assert match.keyword_match(df, ["vote"]).count() == 0 and match.keyword_match(df, ["vote"], description=True).count() == 1
+    assert match.keyword_match(df, ["vote"] + [f"w{i}" for i in range(40)], description=True).count() == 1
+    with pytest.raises(BadRequest):
+        match.keyword_match(df, ["w"] * (match.MOST_KEYWORDS + 1))
+
+
+def test_language_reaches_the_scan(spark, tmp_path):
+    spark.createDataFrame([(x,) for x in ("en", "EN", "en-GB", "En-us", "enm", "fr", None)], "lang string").write.parquet(str(tmp_path / "l"))
+    df = match.in_language(spark.read.parquet(str(tmp_path / "l")), "en")
+    assert sorted(r.lang for r in df.collect()) == ["EN", "En-us", "en", "en-GB"]
+    assert "StringStartsWith" in df._jdf.queryExecution().executedPlan().toString()
+    assert match.in_language(df, "english").count() == 0
+
+
+def test_crawl_requests(items):
+    got = match.crawl_requests(items).where("url like '%Single'").first()
+    assert got.url == "https://n.test/Single" and got.userData.thumbnail == "b"
+
+
+def test_pages_that_cannot_be_read(spark, monkeypatch):
+    pages = [("u1", HTML.format("A")), ("u2", "<p>" + "<div>" * 3000 + "deep text, long enough to be read as content" + "</div>" * 3000), ("u3", None)]
+    got = {r.url for r in readability.articles(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert got == {"u1", "u2"}
+    monkeypatch.setattr(readability, "extract", lambda h: 1 / 0)
+    assert readability._extracted("x") is None
+
+
+def test_http_limits(monkeypatch):
+    assert [http.workers(n) for n in (1, 2, 10, 50, 100)] == [50, 25, 5, 1, 1]
+
+    class Slow:
+        headers = type("H", (), {"get_content_charset": lambda self: None})()
+        __enter__, __exit__ = lambda self: self, lambda self, *a: None
+        read1 = lambda self, n: b"x"
+
+    monkeypatch.setattr(http.urllib.request, "urlopen", lambda url, timeout: Slow())
+    assert http.get("u", retries=0, timeout=0.05)[1].startswith("TimeoutError")
+
+
+def test_chat(spark):
+    sent = []
+
+    def send(url, body, headers, timeout):
+        sent.append((url, json.loads(body), headers, timeout))
+        return json.dumps({"message": {"content": json.dumps({"summary": "Short. 01.02.2026."})}})
+
+    client = ChatClient(Settings(chat_host="http://c.test", chat_key="k", timeout=7), send)
+    assert client("some text") == "Short. 01.02.2026."
+    url, body, headers, timeout = sent[0]
+    assert url == "http://c.test/api/chat" and body["messages"][1]["content"] == "some text" and body["format"] == "json" and headers["Authorization"] == "Bearer k" and timeout == 7
+    assert parse_answer('{"a": ["x", {"b": "y"}], "n": 1}') == "x\n\ny"
+    df = spark.createDataFrame([('{"summary": "s"}',), ("no json",), (None,)], "content string")
+    assert [r.summary for r in parse_answers(df).collect()] == ["s", None, None]
+
+    def failing():
+        return lambda text: 1 / 0
+
+    assert [r.summary for r in summarize(df, make=failing).collect()] == [None] * 3
+
+
+def test_summary_rules(spark):
+    good = " ".join(["word"] * 199) + " 07.02.2026"
+    cases = {good: (True, True, True), "too short": (False, True, True), good + "\n\nb\n\nc": (True, False, True), good + " 2026-02-07": (True, True, False), good + " 7/2/26": (True, True, False), good + " 7.2.2026": (True, True, False), " ".join(["w"] * 251): (False, True, True), "": (False, False, True)}
+    df = spark.createDataFrame([(c,) for c in cases], "s string").select("s", rules(F.col("s")).alias("r"))
+    assert {r.s: tuple(r.r) for r in df.collect()} == cases
+
+
+def test_summary_without_marks():
+    text = " ".join(["filler"] * 250 + ["apple", "pear"] * 300)
+    got = extractive(text).split()
+    assert 200 < len(got) <= MOST_WORDS and "apple" in got and got.count("apple") > got.count("filler")
+
+
+def test_stream_counts(spark, tmp_path):
+    from presswire.streaming import feeds as stream
+
+    spark.sql("select timestamp'2026-01-01 00:10:00' as ts, 'a' as event_type union all select timestamp'2026-01-01 00:50:00', 'a' union all select timestamp'2026-01-01 01:10:00', 'b'").write.parquet(str(tmp_path / "e"))
+    events = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "e"))
+    q = stream.counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.event_type, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
