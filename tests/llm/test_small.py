@@ -178,6 +178,15 @@ def test_bpe_forgets(docs, monkeypatch):
     assert bpe.digests(docs.limit(0)).count() == bpe.decode(bpe.encode(docs.limit(0))).count() == 0
 
 
+def test_bpe_white_space():
+    """Texts with white space of any kind are encoded as the library does."""
+    enc, code, r = brute.encoding(), bpe.TextCodec(), random.Random(31)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x1f", "\x85", "\u200b", "\u180e", "\v", "a", "it's", "'ll", "12", "é", "漢", "!?", "'", "...", "_", "\x00", "x1", "🙂"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert code.encode(t) == enc.encode_ordinary(t), repr(t)
+
+
 def test_bpe_editor():
     enc, code = brute.encoding(), bpe.codec()
     assert len(ranks()) == code.n
