@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,9 @@ ALIKE, PROBED = 0.5, 16
 #: Coordinates in which signatures must agree for a pair to be compared: a pair at the threshold,
 #: which agrees in 51 on average, agrees in fewer with a probability of about 1e-6.
 AGREE = 35
-#: Sets in a block; larger buckets are compared block against block.
-BLOCK = 256
+#: Sets in a block; larger buckets are compared block against block: WIDE blocks at once by their
+#: signatures, and one by one, where signatures leave candidates, by their full sets.
+BLOCK, WIDE = 256, 4
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -206,20 +207,39 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return written(leaves.join(same.groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"))
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """The rows of a bucket, or of two of its blocks, that may have links which no bucket of a
-    smaller number finds."""
+_CANDIDATE = pa.schema([("node", pa.int64()), ("key", pa.binary()), ("block", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+
+
+def _candidates(table: pa.Table, wide: int) -> pa.Table:
+    """The rows of a bucket, or of two blocks of it ``wide`` times as large, that may have links which no bucket of a
+    smaller number finds, for each pair of blocks in which they do."""
     sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
-    if len(sig) == 2:
-        linked = np.array([[0, 1], [1, 0]], bool) & bool((sig[0] == sig[1]).sum() >= AGREE)
-    else:
-        agree = np.zeros((len(sig), len(sig)), np.uint8)
-        for i in range(sig.shape[1]):
-            agree += sig[:, i, None] == sig[None, :, i]
-        linked = agree >= AGREE
-        linked[np.diag_indices(len(sig))] = False
-    linked = _first_time(table, linked)
-    return table.select(["node", "key", "block", "low", "high"]).filter(pa.array(linked.any(axis=1)))
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    block = table.column("block").to_numpy()
+    p, q = np.flatnonzero(block // wide == low), np.flatnonzero(block // wide == high)
+    agree = np.zeros((len(p), len(q)), np.uint8)
+    for i in range(sig.shape[1]):
+        agree += sig[p, i, None] == sig[None, q, i]
+    linked = agree >= AGREE
+    if low == high:
+        linked[np.diag_indices(len(p))] = False
+    if linked.any() and (seen := seen_before(table.column("buckets").to_pylist(), table.column("node")[0].as_py())) is not None:
+        linked &= ~seen[np.ix_(p, q)]
+    rows, lows, highs = [], [], []
+    for a in np.unique(block[p[linked.any(axis=1)]]).tolist():
+        for b in np.unique(block[q]).tolist():
+            if low == high and b < a:
+                continue
+            in_a, in_b = np.flatnonzero(block[p] == a), np.flatnonzero(block[q] == b)
+            part = linked[np.ix_(in_a, in_b)]
+            own = np.union1d(p[in_a[part.any(axis=1)]], q[in_b[part.any(axis=0)]])
+            rows.append(own)
+            lows.append(np.full(len(own), min(a, b), np.int32))
+            highs.append(np.full(len(own), max(a, b), np.int32))
+    if not rows:
+        return _CANDIDATE.empty_table()
+    out = table.select(["node", "key", "block"]).take(pa.array(np.concatenate(rows)))
+    return out.append_column("low", pa.array(np.concatenate(lows))).append_column("high", pa.array(np.concatenate(highs)))
 
 
 def _first_time(table: pa.Table, linked: np.ndarray) -> np.ndarray:
@@ -283,9 +303,6 @@ def _each(rows: DataFrame, parts: int, of, schema: str, empty: pa.Schema) -> Dat
     return rows.withColumn("part", F.pmod(F.xxhash64("node", "low", "high"), F.lit(max(1, parts))).cast("int")).groupBy("part").applyInArrow(run, schema)
 
 
-_CANDIDATE = pa.schema([("node", pa.int64()), ("key", pa.binary()), ("block", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
-
-
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """Every document with its class of near-duplicates: ``doc_id, th, class_id, is_first,
     n_copies, n_links, n_texts``.
@@ -307,12 +324,13 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
     buckets = _buckets(classes)
 
     own = written(buckets.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("buckets")))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = buckets.join(own.join(classes.select("key", "signature"), "key"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "key", "buckets", "signature", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    total = buckets.select(F.sum(blocks)).first()[0] or 0
-    near = written(_each(rows, math.ceil(total / 512), _candidates, "node long, key binary, block int, low int, high int", _CANDIDATE))
+    wide = F.ceil(F.col("size") / (BLOCK * WIDE)).cast("int")
+    blocks = F.when(F.col("size") <= BLOCK, 1).otherwise(wide * WIDE)
+    rows = buckets.join(own.join(classes.select("key", "signature"), "key"), "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1))).withColumn("wide", F.floor(F.col("block") / WIDE).cast("int"))
+    rows = rows.select("node", "key", "buckets", "signature", "block", F.least("wide", "other").alias("low"), F.greatest("wide", "other").alias("high"))
+    total = buckets.select(F.sum(wide)).first()[0] or 0
+    near = written(_each(rows, math.ceil(total / 1024), partial(_candidates, wide=WIDE), "node long, key binary, block int, low int, high int", _CANDIDATE))
     wanted = near.select("key").distinct().join(classes.select("key", "n", "rep"), "key").join(own, "key").select("key", "n", "buckets", "rep.doc_id", "rep.th")
 
     def with_sets(batches):
