@@ -17,8 +17,11 @@ from .components import components, of_class
 COSINE = 0.9
 #: Vectors that the cells are fitted on at most, and rounds of k-means.
 SAMPLE, ROUNDS = 32_768, 8
-#: A centre for so many vectors, and at most so many centres.
+#: A centre for so many vectors, and at most so many centres at once.
 PER_CELL, MAX_CELLS = 4096, 4096
+#: Cells of more residents are divided again, by centres fitted on about so many of them, and so on
+#: for at most so many levels.
+LARGE, SAMPLE_CELL, LEVELS = 1 << 17, 8192, 3
 #: Vectors in a block; larger cells are compared block against block, so many rows at a time.
 BLOCK, TILE = 8192, 512
 
@@ -85,19 +88,19 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"key": pa.array([keys[i] for i in some], pa.binary()), "centre": pa.array([keys[label[i]] for i in some], pa.binary()), "links": pa.array(links[some], pa.int64())})
 
 
-def placed(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, list[list[int]]]:
+def placed(x: np.ndarray, c: np.ndarray, threshold: float, visitor: bool = False) -> tuple[np.ndarray, list[list[int]]]:
     """For unit vectors ``x`` and centres ``c`` each vector's cell and the cells that it visits.
 
     A vector's centre is its nearest one; cell 2i has the vectors within the angle A of the
     threshold from centre i, cell 2i + 1 the others. A vector visits every later cell that can
-    hold a partner. Two bounds rule cells out: the plane halfway between two centres is not
-    crossed within the angle A of a vector that is further from it than sin(A), and a vector
-    more than 2A from a centre has no partner within A of it. Both are exact (with a margin for
-    rounding), so every pair of partners meets, and in one cell only.
+    hold a partner; a ``visitor``, which has no cell of its own here, every cell that can. Two
+    bounds rule cells out: the plane halfway between two centres is not crossed within the angle A
+    of a vector that is further from it than sin(A), and a vector more than 2A from a centre has
+    no partner within A of it. Both are exact (with a margin for rounding), so every pair of
+    partners meets, and in one cell only.
     """
     angle = math.acos(max(-1.0, min(1.0, threshold)))
-    # without a positive cosine the first bound does not hold
-    apart = math.sin(angle) * np.sqrt(np.maximum(0, (c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c @ c.T)) if threshold > 0 else np.full((len(c), len(c)), np.inf)
+    square = (c * c).sum(axis=1)
     cells, visits = np.empty(len(x), np.int64), []
     for i in range(0, len(x), 1024):
         near = x[i : i + 1024] @ c.T
@@ -105,14 +108,67 @@ def placed(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray,
         best = near[np.arange(len(near)), own]
         inner = np.arccos(np.clip(best, -1, 1)) <= angle
         cells[i : i + 1024] = 2 * own + ~inner
-        later = np.arange(len(c)) > own[:, None]
-        outside = later & (best[:, None] - near <= apart[own] + 1e-6)
-        outside[np.flatnonzero(inner), own[inner]] = True
+        later = np.ones(near.shape, bool) if visitor else np.arange(len(c)) > own[:, None]
+        if threshold > 0:  # without a positive cosine the first bound does not hold
+            used, at = np.unique(own, return_inverse=True)
+            apart = math.sin(angle) * np.sqrt(np.maximum(0, square[used, None] + square - 2 * c[used] @ c.T))
+            outside = later & (best[:, None] - near <= apart[at] + 1e-6)
+        else:
+            outside = later
         inside = later & outside & (np.arccos(np.clip(near, -1, 1)) <= 2 * angle + 1e-6)
+        if not visitor:
+            outside[np.flatnonzero(inner), own[inner]] = True
         visits += [np.flatnonzero(v).tolist() for v in np.stack([inside, outside], axis=2).reshape(len(near), -1)]
     return cells, visits
 
 
+def _divided(spread: DataFrame, threshold: float) -> DataFrame:
+    """``spread`` (cell, key, n, vector, visitor) with its large cells divided: centres are fitted on
+    a sample of each, residents go to cells of their own there, and they and visitors visit every
+    cell that can hold a partner. Pairs of partners still meet in one cell only."""
+    sizes = spread.where(~F.col("visitor")).groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
+    large = written(sizes)
+    if large.isEmpty():
+        return spread
+    per_cell, at_most = PER_CELL, MAX_CELLS // 16
+    sample = spread.where(~F.col("visitor")).join(large, "cell").where(F.pmod(F.xxhash64(F.lit(5), "key"), F.ceil(F.col("size") / SAMPLE_CELL).cast("long")) == 0)
+
+    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        vectors = sorted(table.column("vector").to_pylist())
+        x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+        k = max(2, min(at_most, table.column("size")[0].as_py() // per_cell, len(x)))
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "centres": pa.array([spherical_kmeans(x, k).tobytes()], pa.binary())})
+
+    centres = written(sample.select("cell", "size", "vector").groupBy("cell").applyInArrow(fit, "cell long, centres binary"))
+
+    def place(batches):
+        for b in batches:
+            cell, visitor = b.column("cell").to_numpy(), b.column("visitor").to_numpy(zero_copy_only=False)
+            vectors, of = b.column("vector").to_pylist(), b.column("centres").to_pylist()
+            rows: list[int] = []
+            into: list[int] = []
+            visiting: list[bool] = []
+            for name in np.unique(cell).tolist():
+                for kind in (False, True):
+                    at = np.flatnonzero((cell == name) & (visitor == kind))
+                    if not len(at):
+                        continue
+                    x = np.frombuffer(b"".join([vectors[i] for i in at]), np.float64).reshape(len(at), -1)
+                    own, visits = placed(x, np.frombuffer(of[at[0]], np.float64).reshape(-1, x.shape[1]), threshold, kind)
+                    for i, o, others in zip(at.tolist(), own.tolist(), visits, strict=True):
+                        mine = others if kind else [o, *others]
+                        rows += [i] * len(mine)
+                        into += mine
+                        visiting += [True] * len(mine) if kind else [False, *[True] * len(others)]
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("cell", "key", "n", "vector")), pa.array(visiting, pa.bool_()), pa.array(into, pa.int32())], ["cell", "key", "n", "vector", "visitor", "child"])
+
+    met = spread.join(centres, "cell").select("cell", "key", "n", "vector", "visitor", "centres")
+    below = met.mapInArrow(place, "cell long, key binary, n long, vector binary, visitor boolean, child int")
+    below = below.select(F.xxhash64("cell", "child").alias("cell"), "key", "n", "vector", "visitor")
+    return written(spread.join(centres.select("cell"), "cell", "left_anti").unionAll(below))
+
+
 _COMPARED = pa.schema([("key", pa.binary()), ("centre", pa.binary()), ("links", pa.int64())])
 
 
@@ -121,8 +177,9 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", th
 
     Vectors are linked if their cosine, in double precision, is ``threshold`` or more. Equal unit
     vectors are one node, so copies are not expanded into pairs. Cells are fitted on a sample of at
-    most SAMPLE vectors; every vector visits all cells that can hold a partner, so every pair is
-    found, whatever the sample. Null, empty, zero and non-finite vectors link with nothing and are
+    most SAMPLE vectors, and large cells are divided again, so that cells grow in number with the
+    table; every vector visits all cells that can hold a partner, so every pair is found, whatever
+    the sample. Null, empty, zero and non-finite vectors link with nothing and are
     kept; vectors of different lengths do not link, and those of a length that the sample lacks
     share one cell. Vectors of any length are taken whole. Ids may be null and repeat; a component
     is named by its smallest id (of equal smallest ids every row is kept); an empty table gives an
@@ -167,8 +224,13 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", th
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), b.column("vector"), pa.array(cells, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["key", "n", "vector", "cell", "visits"])
 
     in_cells = written(nodes.select("key", "n", "vector").mapInArrow(assign, "key binary, n long, vector binary, cell int, visits array<int>"))
-    residents = in_cells.select("cell", "key", "n", "vector", F.lit(False).alias("visitor"))
-    spread = residents.unionAll(in_cells.select(F.explode("visits").alias("cell"), "key", "n", "vector", F.lit(True).alias("visitor")))
+    residents = in_cells.select(F.col("cell").cast("long"), "key", "n", "vector", F.lit(False).alias("visitor"))
+    spread = residents.unionAll(in_cells.select(F.explode(F.col("visits").cast("array<long>")).alias("cell"), "key", "n", "vector", F.lit(True).alias("visitor")))
+    if total > LARGE:
+        for _ in range(LEVELS):
+            before, spread = spread, _divided(spread, threshold)
+            if spread is before:
+                break
     blocks = lambda visitor: F.ceil(F.count_if(F.col("visitor") == visitor) / BLOCK).cast("int")
     sizes = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), blocks(False).alias("own"), blocks(True).alias("visiting")).where("size > 1 and own > 0").drop("size")
     # residents' blocks are numbered before visitors'; two visitors are not compared
