@@ -100,6 +100,7 @@ def test_jaccard(docs, monkeypatch, small, block, pairs, alike):
     monkeypatch.setattr(jaccard, "ALIKE", alike)
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "WIDE", 2)
     want = [w if i is not None and (t or "").split() else (w[0], w[0] if not (t or "").split() else w[1], *w[2:]) for w, (i, t) in zip(brute.jaccard(documents()), documents(), strict=True)]
     same(rows(jaccard.join(docs), "doc_id", "class_id", "n_copies", "n_links"), want)
     kept = jaccard.keep(docs)
@@ -503,11 +504,15 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.link(df.limit(0)).count() == 0
 
 
-def test_embeddings_hot_group(spark, monkeypatch):
-    """A third of the vectors lies in one group of near copies, over many cells and blocks."""
+@pytest.mark.parametrize(("per_cell", "large"), [(4, 1 << 17), (100, 60), (2000, 200)])
+def test_embeddings_hot_group(spark, monkeypatch, per_cell, large):
+    """A third of the vectors lies in one group of near copies, over many cells and blocks, and over
+    cells that are divided again."""
     import numpy as np
 
-    monkeypatch.setattr(embeddings, "PER_CELL", 4)
+    monkeypatch.setattr(embeddings, "PER_CELL", per_cell)
+    monkeypatch.setattr(embeddings, "LARGE", large)
+    monkeypatch.setattr(embeddings, "SAMPLE_CELL", 64)
     monkeypatch.setattr(embeddings, "BLOCK", 100)
     monkeypatch.setattr(embeddings, "TILE", 32, raising=False)
     r = np.random.default_rng(4)
