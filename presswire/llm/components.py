@@ -42,9 +42,9 @@ def of_class(rows: DataFrame, per_key: DataFrame, total: int) -> DataFrame:
     return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
 
 
-def seen_before(lists: list, this: int) -> np.ndarray | None:
-    """Which pairs of members also meet in a bucket of a smaller number than ``this``. Each
-    member has the numbers of all its buckets. A pair counts in its first bucket only."""
+def seen_before(lists: list, this: int, p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
+    """Which pairs of members ``p`` and ``q`` also meet in a bucket of a smaller number than ``this``.
+    Each member has the numbers of all its buckets. A pair counts in its first bucket only."""
     sizes = [len(x) for x in lists]
     flat = np.concatenate([np.asarray(x, np.int64) for x in lists])
     member = np.repeat(np.arange(len(lists)), sizes)
@@ -57,7 +57,7 @@ def seen_before(lists: list, this: int) -> np.ndarray | None:
     at = many[where]
     m = np.zeros((len(lists), int(many.sum())), np.float32)
     m[member[earlier][at], column[where[at]]] = 1
-    return m @ m.T > 0
+    return m[p] @ m[q].T > 0
 
 
 def stars(linked: np.ndarray) -> np.ndarray:

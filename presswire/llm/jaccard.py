@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,9 @@ ALIKE, PROBED = 0.5, 16
 #: Coordinates in which signatures must agree for a pair to be compared: a pair at the threshold,
 #: which agrees in 51 on average, agrees in fewer with a probability of about 1e-6.
 AGREE = 35
-#: Sets in a block; larger buckets are compared block against block: WIDE blocks at once by their
-#: signatures, and one by one, where signatures leave candidates, by their full sets.
-BLOCK, WIDE = 256, 4
+#: Sets, and bytes of sets, in a block on average; larger buckets are compared block against block.
+#: Signatures are small: blocks of large sets are compared by them several at once.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -130,7 +130,8 @@ def first_levels(signature: np.ndarray, runs: int) -> np.ndarray:
 
 
 def _sets_of(df: DataFrame, runs: int) -> DataFrame:
-    """``doc_id, th, text`` to ``doc_id, th, key, signature, nodes``; the key names the set."""
+    """``doc_id, th, text`` to ``doc_id, th, key, shingles, signature, nodes``: the key names the
+    set, ``shingles`` is its size."""
 
     def run(batches):
         for b in batches:
@@ -152,19 +153,20 @@ def _sets_of(df: DataFrame, runs: int) -> DataFrame:
                         sigs.append(None)
                         lists.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "th", "key", "signature", "nodes"]
+                    [b.column("doc_id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                    ["doc_id", "th", "key", "shingles", "signature", "nodes"],
                 )
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, th long, key binary, signature binary, nodes array<long>")
+    return df.mapInArrow(run, f"doc_id {kind}, th long, key binary, shingles long, signature binary, nodes array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``node, key, size`` of the buckets to compare. Each level is one job: a node's size and one
+    """``node, key, size, load`` of the buckets to compare (their sets, and shingles of these). Each level is one job: a node's size and one
     of its sets come from one aggregate, and what follows stays where its nodes are."""
-    rows = classes.select(F.explode("nodes").alias("node"), "key")
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    level = written(rows.join(sizes, "node"))
+    rows = classes.select(F.explode("nodes").alias("node"), "key", "shingles")
+    total = [F.count(F.lit(1)).alias("size"), F.sum("shingles").alias("load")]
+    level = written(rows.join(rows.groupBy("node").agg(*total).where("size > 1"), "node").drop("shingles"))
     leaves = [level.where(F.col("size") <= SMALL)]
 
     def split(batches):
@@ -172,18 +174,18 @@ def _buckets(classes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             node = children(b.column("node").to_numpy().view(np.uint64), sig).view(np.int64)
             rep = pa.array(np.repeat(np.arange(len(node)), BRANCHES))
-            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), b.column("key").take(rep), b.column("signature").take(rep)], ["node", "key", "signature"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), *(b.column(c).take(rep) for c in ("key", "shingles", "signature"))], ["node", "key", "shingles", "signature"])
 
     part = lambda c, i: F.substring(c, 4 * i + 1, 4)
     agree = sum((part("signature", i) == part("probe", i)).cast("int") for i in range(PROBED)) / F.lit(PROBED)
 
     def looked_at(rows: DataFrame) -> DataFrame:
-        """``rows`` (node, key, signature) of nodes of two sets or more, with the node's size and
-        how far its sets agree with one of them."""
-        of = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("key", "signature")).alias("m")).where("size > 1")
-        met = rows.join(of.select("node", "size", F.col("m.signature").alias("probe")), "node")
+        """``rows`` (node, key, shingles, signature) of nodes of two sets or more, with the node's
+        size and load and how far its sets agree with one of them."""
+        of = rows.groupBy("node").agg(*total, F.min(F.struct("key", "signature")).alias("m")).where("size > 1")
+        met = rows.join(of.select("node", "size", "load", F.col("m.signature").alias("probe")), "node")
         share = met.groupBy("node").agg(F.avg(agree).alias("share"))
-        return written(met.join(share, "node").select("node", "key", "signature", "size", "share"))
+        return written(met.join(share, "node").select("node", "key", "shingles", "signature", "size", "load", "share"))
 
     def few(rows: DataFrame) -> bool:
         return (rows.agg(F.sum("size")).first()[0] or 0) <= PAIRS
@@ -192,7 +194,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     if few(large):
         leaves.append(large)
     else:
-        level = looked_at(large.select("node", "key").join(classes.select("key", "signature"), "key").select("node", "key", "signature"))
+        level = looked_at(large.select("node", "key").join(classes.select("key", "shingles", "signature"), "key").select("node", "key", "shingles", "signature"))
         for depth in range(LEVELS + 1):
             done = (F.col("size") <= SMALL) | (F.col("share") >= ALIKE)
             leaves.append(level.where(done))
@@ -200,8 +202,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
             if depth == LEVELS or few(large):
                 leaves.append(large)
                 break
-            level = looked_at(large.select("node", "key", "signature").mapInArrow(split, "node long, key binary, signature binary"))
-    leaves = reduce(DataFrame.unionAll, [x.select("node", "key", "size") for x in leaves])
+            level = looked_at(large.select("node", "key", "shingles", "signature").mapInArrow(split, "node long, key binary, shingles long, signature binary"))
+    leaves = reduce(DataFrame.unionAll, [x.select("node", "key", "size", "load") for x in leaves])
     # Buckets of equal members do the same work: the first of them does it.
     same = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("s"), F.bit_xor(F.xxhash64(F.lit(3), "key")).alias("x"))
     return written(leaves.join(same.groupBy("n", "s", "x").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"))
@@ -210,21 +212,17 @@ def _buckets(classes: DataFrame) -> DataFrame:
 _CANDIDATE = pa.schema([("node", pa.int64()), ("key", pa.binary()), ("block", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 
 
-def _candidates(table: pa.Table, wide: int) -> pa.Table:
-    """The rows of a bucket, or of two blocks of it ``wide`` times as large, that may have links which no bucket of a
+def _candidates(table: pa.Table) -> pa.Table:
+    """The rows of a bucket, or of two wide blocks of it, that may have links which no bucket of a
     smaller number finds, for each pair of blocks in which they do."""
     sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    block = table.column("block").to_numpy()
-    p, q = np.flatnonzero(block // wide == low), np.flatnonzero(block // wide == high)
+    block, wide = table.column("block").to_numpy(), table.column("wide").to_numpy()
+    p, q = np.flatnonzero(wide == low), np.flatnonzero(wide == high)
     agree = np.zeros((len(p), len(q)), np.uint8)
     for i in range(sig.shape[1]):
         agree += sig[p, i, None] == sig[None, q, i]
-    linked = agree >= AGREE
-    if low == high:
-        linked[np.diag_indices(len(p))] = False
-    if linked.any() and (seen := seen_before(table.column("buckets").to_pylist(), table.column("node")[0].as_py())) is not None:
-        linked &= ~seen[np.ix_(p, q)]
+    linked = _first_time(table, agree >= AGREE, p, q)
     rows, lows, highs = [], [], []
     for a in np.unique(block[p[linked.any(axis=1)]]).tolist():
         for b in np.unique(block[q]).tolist():
@@ -242,13 +240,12 @@ def _candidates(table: pa.Table, wide: int) -> pa.Table:
     return out.append_column("low", pa.array(np.concatenate(lows))).append_column("high", pa.array(np.concatenate(highs)))
 
 
-def _first_time(table: pa.Table, linked: np.ndarray) -> np.ndarray:
-    """Links between the blocks that meet here and not in a bucket of a smaller number."""
-    if table.column("low")[0] != table.column("high")[0]:
-        block = table.column("block").to_numpy()
-        linked = linked & (block[:, None] != block[None, :])
-    if linked.any() and (seen := seen_before(table.column("buckets").to_pylist(), table.column("node")[0].as_py())) is not None:
-        linked = linked & ~seen
+def _first_time(table: pa.Table, linked: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which of the links between rows ``p`` and ``q`` are no row's with itself, and not found in a
+    bucket of a smaller number."""
+    linked = linked & (p[:, None] != q[None, :])
+    if linked.any() and (seen := seen_before(table.column("buckets").to_pylist(), table.column("node")[0].as_py(), p, q)) is not None:
+        linked &= ~seen
     return linked
 
 
@@ -260,28 +257,31 @@ def _compare(table: pa.Table) -> pa.Table:
     weight = table.column("n").to_numpy()
     n = len(keys)
     sizes = np.array([len(s) for s in sets], np.int64)
+    block = table.column("block").to_numpy()
+    p, q = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("low", "high"))
+    both = np.zeros((len(p), len(q)))
     if n == 2:
-        both = np.zeros((2, 2), np.int64)
-        both[0, 1] = both[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        both += len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
         _, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(n), sizes)
         many = counts >= 2
         column, use = np.cumsum(many) - 1, many[where]
         owner, column = owner[use], column[where[use]]
-        width, both = min(len(counts), max(1, 8_000_000 // n)), np.zeros((n, n))
+        width = min(len(counts), max(1, 8_000_000 // n))
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, [lo, lo + width])
             x = np.zeros((n, min(width, int(column[-1]) + 1 - lo)), np.float32)
             x[owner[a:b], column[a:b] - lo] = 1
-            both += x @ x.T
-        both = both.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = both * DENOMINATOR >= NUMERATOR * union
-    linked[np.diag_indices(n)] = False
-    linked = _first_time(table, linked)
+            both += x[p] @ x[q].T
+    both = both.astype(np.int64)
+    union = sizes[p][:, None] + sizes[q][None, :] - both
+    found = _first_time(table, both * DENOMINATOR >= NUMERATOR * union, p, q)
+    linked = np.zeros((n, n), bool)
+    linked[np.ix_(p, q)] = found
+    linked |= linked.T
     some = np.flatnonzero(linked.any(axis=1))
     label = stars(linked)
     return pa.table({"key": pa.array([keys[i] for i in some], pa.binary()), "centre": pa.array([keys[label[i]] for i in some], pa.binary()), "links": pa.array(linked[some] @ weight, pa.int64()), "texts": pa.array(linked[some].sum(axis=1), pa.int64())})
@@ -320,18 +320,19 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
     """
     docs = only(df, doc_id=doc_id, text=text).withColumn("th", text_hash())
     members = written(_sets_of(docs, runs_needed(recall)))
-    classes = written(members.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("signature").alias("signature"), F.first("nodes").alias("nodes")))
+    classes = written(members.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("shingles").alias("shingles"), F.first("signature").alias("signature"), F.first("nodes").alias("nodes")))
     buckets = _buckets(classes)
 
-    own = written(buckets.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("buckets")))
-    wide = F.ceil(F.col("size") / (BLOCK * WIDE)).cast("int")
-    blocks = F.when(F.col("size") <= BLOCK, 1).otherwise(wide * WIDE)
-    rows = buckets.join(own.join(classes.select("key", "signature"), "key"), "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1))).withColumn("wide", F.floor(F.col("block") / WIDE).cast("int"))
-    rows = rows.select("node", "key", "buckets", "signature", "block", F.least("wide", "other").alias("low"), F.greatest("wide", "other").alias("high"))
+    own = buckets.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("buckets"))
+    own = written(own.join(classes.select("key", "n", "rep", "signature"), "key"))
+    wide = F.ceil(F.col("size") / BLOCK).cast("int")
+    each = F.greatest(F.lit(1), F.ceil(F.col("load") * 8 / BLOCK_BYTES / wide)).cast("int")  # blocks of a wide one
+    rows = buckets.join(own.select("key", "buckets", "signature"), "key").withColumn("block", F.pmod(F.xxhash64("key"), wide * each).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1))).withColumn("wide", F.floor(F.col("block") / each).cast("int"))
+    rows = rows.select("node", "key", "buckets", "signature", "block", "wide", F.least("wide", "other").alias("low"), F.greatest("wide", "other").alias("high"))
     total = buckets.select(F.sum(wide)).first()[0] or 0
-    near = written(_each(rows, math.ceil(total / 1024), partial(_candidates, wide=WIDE), "node long, key binary, block int, low int, high int", _CANDIDATE))
-    wanted = near.select("key").distinct().join(classes.select("key", "n", "rep"), "key").join(own, "key").select("key", "n", "buckets", "rep.doc_id", "rep.th")
+    near = written(_each(rows, math.ceil(total / 1024), _candidates, "node long, key binary, block int, low int, high int", _CANDIDATE))
+    wanted = own.join(near.select("key").distinct(), "key", "left_semi").select("key", "n", "buckets", "rep.doc_id", "rep.th")
 
     def with_sets(batches):
         for b in batches:
