@@ -100,7 +100,7 @@ def test_jaccard(docs, monkeypatch, small, block, pairs, alike):
     monkeypatch.setattr(jaccard, "ALIKE", alike)
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "WIDE", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1 << 22 if small > 3 else 500)
     want = [w if i is not None and (t or "").split() else (w[0], w[0] if not (t or "").split() else w[1], *w[2:]) for w, (i, t) in zip(brute.jaccard(documents()), documents(), strict=True)]
     same(rows(jaccard.join(docs), "doc_id", "class_id", "n_copies", "n_links"), want)
     kept = jaccard.keep(docs)
