@@ -33,13 +33,14 @@ HOT = 10_000
 
 
 def of_class(rows: DataFrame, per_key: DataFrame, total: int) -> DataFrame:
-    """``rows`` with the columns of ``per_key`` (key, n: the number of rows of the key); rows
-    without a key are left out. Keys of more than ``total / HOT`` rows, of which there are HOT at
-    most, are broadcast, so that their rows stay where they are; the others meet by key."""
+    """``rows`` with the columns of ``per_key`` (key, n: the number of rows of the key), null where
+    that lacks the key; rows without a key are left out. Keys of more than ``total / HOT`` rows, of
+    which there are HOT at most, are broadcast, so that their rows stay where they are; the others
+    meet by key."""
     often = F.col("n") > math.ceil(total / HOT)
     hot, rest = F.broadcast(per_key.where(often)), per_key.where(~often)
     rows = rows.where("key is not null")
-    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
+    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(rest, "key", "left"))
 
 
 def seen_before(lists: list, this: int, p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
@@ -62,10 +63,11 @@ def seen_before(lists: list, this: int, p: np.ndarray, q: np.ndarray) -> np.ndar
 
 def stars(linked: np.ndarray) -> np.ndarray:
     """For each member the smallest member of its component in a symmetric matrix of links."""
-    label = np.arange(len(linked))
+    n = len(linked)
+    label = np.arange(n)
     while True:
-        low = np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label))
-        new = np.minimum(label, low)
+        low = [np.where(linked[i : i + 256], label[None, :], n).min(axis=1, initial=n) for i in range(0, n, 256)]
+        new = np.minimum(label, np.concatenate([np.zeros(0, np.int64), *low]))
         new = new[new]
         if (new == label).all():
             return label

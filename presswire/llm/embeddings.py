@@ -247,8 +247,11 @@ def link(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", th
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
     first = group.join(nodes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
     linked = group.join(first, "component").select(F.col("node").alias("key"), "first")
-    per_key = nodes.select("key", "n", "rep").join(counts, "key", "left").join(linked, "key", "left").select("key", "n", F.coalesce("first", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
-    own = of_class(rows.select("vec_id", "key"), written(per_key), rows.count()).select("vec_id", "first", (F.col("links") + F.col("n") - 1).alias("links"))
+    per_key = nodes.select("key", "n", "rep").join(counts, "key", "left").join(linked, "key", "left")
+    per_key = per_key.where("n > 1 or links is not null")  # the others are components of one row
+    per_key = per_key.select("key", "n", F.coalesce("first", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
+    own = of_class(rows.select("vec_id", "key"), written(per_key), rows.count())
+    own = own.select("vec_id", F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("first")).alias("first"), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).alias("links"))
     out = own.unionAll(rows.where("key is null").select("vec_id", "vec_id", F.lit(0)))
     return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("first").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("first")).alias("kept"))
 

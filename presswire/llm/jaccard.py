@@ -43,7 +43,7 @@ ALIKE, PROBED = 0.5, 16
 AGREE = 35
 #: Sets, and bytes of sets, in a block on average; larger buckets are compared block against block.
 #: Signatures are small: blocks of large sets are compared by them several at once.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -351,16 +351,19 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: floa
     counts = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     first = group.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
     linked = group.join(first, "component").select(F.col("node").alias("key"), "first")
-    per_key = classes.select("key", "n", "rep").join(counts, "key", "left").join(linked, "key", "left").select("key", "n", F.coalesce("first", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    per_key = classes.select("key", "n", "rep").join(counts, "key", "left").join(linked, "key", "left")
+    per_key = per_key.where("n > 1 or links is not null")  # the others are classes of one row
+    per_key = per_key.select("key", "n", F.coalesce("first", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     own = of_class(members.select("doc_id", "th", "key"), written(per_key), members.count())
+    alone = F.col("first").isNull()
     own = own.select(
         "doc_id",
         "th",
-        F.col("first.doc_id").alias("class_id"),
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("is_first"),
-        F.col("n").alias("n_copies"),
-        (F.col("links") + F.col("n") - 1).alias("n_links"),
-        F.col("texts").alias("n_texts"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).alias("is_first"),
+        F.coalesce("n", F.lit(1)).alias("n_copies"),
+        F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).alias("n_links"),
+        F.coalesce("texts", F.lit(0)).alias("n_texts"),
     )
     none = members.where("key is null").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_first"), F.lit(1).alias("n_copies"), F.lit(0).alias("n_links"), F.lit(0).alias("n_texts"))
     return own.unionByName(none).select("doc_id", "th", "class_id", "is_first", *[F.col(c).cast("long").alias(c) for c in ("n_copies", "n_links", "n_texts")])
