@@ -112,8 +112,8 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities:
 
     Returns a row for each piece: ``doc_id, piece, first_token, n_tokens, grp, bin, bin_offset,
     capacity``. A document has its tokens (byte-level BPE) and one separator, so null and empty
-    texts are pieces of one token. A document longer than the largest capacity is cut into pieces
-    of that capacity and a rest; nothing is dropped. Repeated rows are packed as often as they
+    texts are pieces of one token. A document longer than the largest capacity, however long, is
+    cut into pieces of that capacity and a rest; nothing is dropped. Repeated rows are packed as often as they
     occur; ids may be null; pieces of equal length come in the order of id and text hash. An empty
     table gives an empty result. Pieces are dealt evenly over groups of about ``group_pieces``, and
     each group is packed by itself: a bin is ``(grp, bin)``. Other columns, whatever their names,

@@ -98,7 +98,9 @@ def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     Columns: ``doc_id``, the base (``n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed``), the method's (``script, n_tokens, chars_per_token,
     fallback_share, token_entropy``) and ``kept``. A null or empty text has no words and fails.
-    Every row is judged by itself: ids may be null or repeat. Other columns are ignored.
+    Every row is judged by itself, by its whole text of any length: ids may be null or repeat, and
+    repeated rows have one verdict. An empty table gives an empty result. Other columns, whatever
+    their names, are ignored.
     """
     kind = df.schema[doc_id].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "script", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "kept"]
@@ -122,7 +124,8 @@ def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
 
 def keep(df: DataFrame, text: str = "text", path: str = MULTI, pieces: str = PIECES, bands=BANDS) -> DataFrame:
-    """The rows of ``df`` that :func:`measure` keeps, with all their columns, as they are."""
+    """The rows of ``df`` that :func:`measure` keeps, with all their columns, as they are, whatever
+    their names; repeated rows stay or go together."""
 
     def run(batches):
         encoding, known = tiktoken_encoding(path), known_characters(pieces)
