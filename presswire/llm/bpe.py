@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Substrings, only
+from .common import Substrings, only, slices
 from .vocabulary import MULTI, PATTERN, ranks
 
 
@@ -220,7 +220,7 @@ def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
     def run(batches):
         code = TextCodec(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             n_tokens, ids_hex, bytes_hex = [], [], []
             i = 0
@@ -249,7 +249,7 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
     def run(batches):
         code = TextCodec(path)
-        for b in batches:
+        for b in slices(batches):
             ids = [code.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 

@@ -94,6 +94,15 @@ def pieces(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def slices(batches, text: str = "text", most: int = 1 << 22):
+    """``batches`` cut into smaller ones of about ``most`` bytes of text, so that few texts are
+    Python objects at a time; a longer text is one by itself."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(b.schema.names.index(text))), 0).to_numpy(zero_copy_only=False)
+        for i, j in pieces(np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]), most):
+            yield b.slice(i, j - i)
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)

@@ -43,7 +43,7 @@ ALIKE, PROBED = 0.5, 16
 AGREE = 35
 #: Sets, and bytes of sets, in a block on average; larger buckets are compared block against block.
 #: Signatures are small: blocks of large sets are compared by them several at once.
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -259,7 +259,8 @@ def _compare(table: pa.Table) -> pa.Table:
     sizes = np.array([len(s) for s in sets], np.int64)
     block = table.column("block").to_numpy()
     p, q = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("low", "high"))
-    both = np.zeros((len(p), len(q)))
+    kind = np.float32 if sizes.max() < 1_000_000 else np.float64  # counts are exact in either
+    both = np.zeros((len(p), len(q)), kind)
     if n == 2:
         both += len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
@@ -268,17 +269,17 @@ def _compare(table: pa.Table) -> pa.Table:
         many = counts >= 2
         column, use = np.cumsum(many) - 1, many[where]
         owner, column = owner[use], column[where[use]]
-        width = min(len(counts), max(1, 8_000_000 // n))
+        width = min(len(counts), max(1, 4_000_000 // n))
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, [lo, lo + width])
-            x = np.zeros((n, min(width, int(column[-1]) + 1 - lo)), np.float32)
+            x = np.zeros((n, min(width, int(column[-1]) + 1 - lo)), kind)
             x[owner[a:b], column[a:b] - lo] = 1
             both += x[p] @ x[q].T
-    both = both.astype(np.int64)
-    union = sizes[p][:, None] + sizes[q][None, :] - both
-    found = _first_time(table, both * DENOMINATOR >= NUMERATOR * union, p, q)
+    # both / (sizes - both) >= 4 / 5, without a division
+    alike = (NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (sizes[p].astype(kind)[:, None] + sizes[q].astype(kind)[None, :])
+    found = _first_time(table, alike, p, q)
     linked = np.zeros((n, n), bool)
     linked[np.ix_(p, q)] = found
     linked |= linked.T

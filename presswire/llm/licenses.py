@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, slices
 
 #: Base phrases and their labels (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -335,7 +335,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: d
 
     def run(batches):
         scanner = default_scanner() if templates is None else build(templates)
-        for b in batches:
+        for b in slices(batches):
             got = [scanner.scan(t or "") for t in b.column("text").to_pylist()]
             places = [[{"word": w, "label": x} for w, x in g["places"]] for g in got]
             spans = [[dict(zip(("label", "first", "end", "covered"), s, strict=True)) for s in g["spans"]] for g in got]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, text_hash, written
+from .common import only, slices, text_hash, written
 from .vocabulary import MULTI, tiktoken_encoding
 
 CAPACITIES = (1024, 2048, 4096, 8192)
@@ -99,7 +99,7 @@ def token_counts(df: DataFrame) -> DataFrame:
 
     def count(batches):
         enc = tiktoken_encoding(MULTI)
-        for b in batches:
+        for b in slices(batches):
             n = [1 + (len(enc.encode_ordinary(t)) if t else 0) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(n, pa.int64())], ["doc_id", "tie", "n_tokens"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, slices
 from .vocabulary import MULTI, PIECES, known_characters, tiktoken_encoding
 
 SYMBOLS = "#*$%&|<>"
@@ -108,7 +108,7 @@ def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
     def run(batches):
         encoding, known = tiktoken_encoding(path), known_characters(pieces)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in b.column("text").to_pylist():
                 base = base_rules(t or "")
@@ -129,7 +129,7 @@ def keep(df: DataFrame, text: str = "text", path: str = MULTI, pieces: str = PIE
 
     def run(batches):
         encoding, known = tiktoken_encoding(path), known_characters(pieces)
-        for b in batches:
+        for b in slices(batches, text):
             mask = []
             for t in b.column(b.schema.names.index(text)).to_pylist():
                 base = base_rules(t or "")

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Substrings, mix, only, pieces, text_hash, unused, utf8, written
+from .common import Substrings, mix, only, pieces, slices, text_hash, unused, utf8, written
 
 LENGTH, GRAM = 200, 40
 CHUNK, SEGMENT = 1 << 20, 1 << 23
@@ -227,7 +227,7 @@ _CUT = ["part", "anchor", "around", "more", "lead", "weight", "main", "again", "
 
 def _snippets(wanted: DataFrame, length: int) -> DataFrame:
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text, asks in zip(b.column("text").to_pylist(), b.column("asks").to_pylist(), strict=True):
                 data = text.encode() if isinstance(text, str) else text or b""
@@ -355,7 +355,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
     removed = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
 
     def apply(batches):
-        for b in batches:
+        for b in slices(batches):
             n, gone, runs, kept = [], [], [], []
             for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data, cut = (t or "").encode(), merged(s)
@@ -378,7 +378,7 @@ def strip(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     docs = _keyed(df, text, ta, tb)
 
     def apply(batches):
-        for b in batches:
+        for b in slices(batches, text):
             out = []
             for t, s in zip(b.column(text).to_pylist(), b.column(gone).to_pylist(), strict=True):
                 if t and s:

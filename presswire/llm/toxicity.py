@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, text_hash, written
+from .common import only, slices, text_hash, written
 
 THRESHOLD = 0.3
 #: Labelled documents that the model is fitted on at most, drawn by a hash of their id.
@@ -268,7 +268,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         of = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             got = [of(t or "") for t in b.column("text").to_pylist()]
             bad = [[{"start": s, "end": e, "score": p} for s, e, p in found if p >= THRESHOLD] for _, found in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array([len(x) for x in bad], pa.int64()), pa.array(bad, spans)], ["doc_id", "score", "n_offending", "offending"])
@@ -282,7 +282,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         of = model.scorer()
-        for b in batches:
+        for b in slices(batches, text):
             yield b.filter(pa.array([of(t or "")[0] < THRESHOLD for t in b.column(b.schema.names.index(text)).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
