@@ -182,6 +182,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     def looked_at(rows: DataFrame) -> DataFrame:
         """``rows`` (node, key, shingles, signature) of nodes of two sets or more, with the node's
         size and load and how far its sets agree with one of them."""
+        rows = written(rows)  # they are read twice
         of = rows.groupBy("node").agg(*total, F.min(F.struct("key", "signature")).alias("m")).where("size > 1")
         met = rows.join(of.select("node", "size", "load", F.col("m.signature").alias("probe")), "node")
         share = met.groupBy("node").agg(F.avg(agree).alias("share"))
