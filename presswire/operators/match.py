@@ -93,9 +93,9 @@ def gate(items: DataFrame, matched: DataFrame) -> DataFrame:
     return items.where(matched.select(F.lit(1)).exists())
 
 
-def crawl_requests(items: DataFrame) -> DataFrame:
-    """``url, userData`` of items with a link."""
-    return linked(items).select(F.col("link").alias("url"), F.struct("thumbnail").alias("userData"))
+def crawl_requests(items: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``url, userData`` of items with a link, one row for each, after the columns ``keep`` of the item."""
+    return linked(items).select(*keep, F.col("link").alias("url"), F.struct("thumbnail").alias("userData"))
 
 
 def without_topics(df: DataFrame, topics: list[str], columns: tuple[str, ...] = ("title",), category: str | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from presswire import service
+from presswire import queries, service
 from presswire.errors import NUMERIC_TITLE, SINGLE_CATEGORY, BadRequest, NoCategory, UnknownCategories
 from presswire.functions import readability
 from presswire.functions.readability import extract
@@ -354,3 +355,25 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.event_type, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def same_as_sql(spark, folder, name, **tables):
+    """The rows of a query over ``tables``, which must be those of its SQL."""
+    for n, t in tables.items():
+        t.write.mode("overwrite").parquet(f"{folder}/{n}.parquet")
+    duck = duckdb.connect()
+    for n in tables:
+        duck.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{folder}/{n}.parquet/*.parquet')")
+    got = sorted(map(tuple, queries.QUERIES[name](spark, str(folder)).collect()), key=repr)
+    assert got == sorted(duck.execute(queries.SQL[name]).fetchall(), key=repr)
+    return got
+
+
+def pages_table(spark, *rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_link_present_repeats(spark, tmp_path):
+    """Pages that share a URL are one row each."""
+    pages = pages_table(spark, (1, "https://n.test/a", ""), (2, "https://n.test/a", ""), (4, "https://n.test/a", ""), (6, "", ""), (7, None, ""), (8, "https://n.test/b", ""))
+    assert [r[0] for r in same_as_sql(spark, tmp_path, "link_present", pages=pages)] == [1, 2, 4, 8]
