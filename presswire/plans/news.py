@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.readability import articles
@@ -17,6 +18,9 @@ from ..sources import catalogue, http, rss
 
 log = logging.getLogger(__name__)
 
+#: What makes two URLs the same page.
+Key = Callable[[Column], Column]
+
 
 def matched_items(items: DataFrame, request: NewsRequest) -> DataFrame:
     """The items whose pages are wanted. ``intended``: those that match and pass the other
@@ -28,23 +32,25 @@ def matched_items(items: DataFrame, request: NewsRequest) -> DataFrame:
     return match.in_timeframe(hits, pub_date(F.col("pubDate")), request.start, request.end)
 
 
-def wanted_pages(items: DataFrame, request: NewsRequest) -> DataFrame:
+def wanted_pages(items: DataFrame, request: NewsRequest, link_key: Key = url_key) -> DataFrame:
     """``key, url, thumbnail`` of wanted items, one row for each URL key: of items with one key
     that with the smallest link, and among these one with a thumbnail, the smallest."""
     asked = match.crawl_requests(matched_items(items, request)).select("url", F.col("userData.thumbnail").alias("thumbnail"))
     order = F.struct("url", F.col("thumbnail").isNull(), "thumbnail")
-    one = asked.groupBy(url_key(F.col("url")).alias("key")).agg(F.min_by(F.struct("url", "thumbnail"), order).alias("r"))
+    one = asked.groupBy(link_key(F.col("url")).alias("key")).agg(F.min_by(F.struct("url", "thumbnail"), order).alias("r"))
     return one.select("key", "r.url", "r.thumbnail")
 
 
-def find_articles(items: DataFrame, pages: DataFrame, request: NewsRequest) -> DataFrame:
+def find_articles(items: DataFrame, pages: DataFrame, request: NewsRequest, link_key: Key = url_key, page_key: Key = url_key, open_references: bool = True) -> DataFrame:
     """Articles of wanted items, with the items' links and thumbnails. ``pages``: ``url, html``,
     stored pages, which items find by URL key; of pages with one key that with
-    the smallest url, and among these the smallest text."""
-    wanted = wanted_pages(items, request)
-    p = pages.select(url_key(F.col("url")).alias("key"), F.col("url").alias("page"), "html").join(wanted, "key")
+    the smallest url, and among these the smallest text. ``link_key`` and ``page_key``: the keys of
+    links and of stored pages, where fewer or other URLs are the same than by :func:`url_key`.
+    ``open_references``: see :func:`articles`."""
+    wanted = wanted_pages(items, request, link_key)
+    p = pages.select(page_key(F.col("url")).alias("key"), F.col("url").alias("page"), "html").join(wanted, "key")
     found = p.groupBy("key").agg(F.min_by(F.struct("url", "thumbnail", "html"), F.struct("page", "html")).alias("r")).select("r.*")
-    return _speaking(articles(found), request)
+    return _speaking(articles(found, open_references), request)
 
 
 def fetch_articles(items: DataFrame, request: NewsRequest, transport: http.Transport = http.urlopen) -> DataFrame:

@@ -403,3 +403,16 @@ def test_article_extract_references(spark, tmp_path):
     pages = pages_table(spark, *[(i, f"https://n.test/{i}", PAGE.format(t, f"{LONG} {t}", f"{LONG} {t}")) for i, t in enumerate(CUT)])
     got = same_as_sql(spark, tmp_path, "article_extract", pages=pages)
     assert got[0][4] == "a &&amp" and got[0][7] == f"{LONG} a &&amp" and got[0][8].endswith(f"{LONG} a &&amp")
+
+
+def test_item_page_join_forms(spark, tmp_path):
+    """Pages whose URLs differ in a parameter, in case or in white space are pages of their own; those that differ in the
+    fragment or in slashes at the end of the path are one."""
+    a = "https://n.test/a"
+    urls = [a, f"{a}?utm_source=feed", f"{a}?utm_source=feed&utm_source=feed", f"{a}/", f"{a}//#top", f"{a}/?utm_source=feed#x", f"{a}?utm_source=feed#x", "https://N.test/a", f" {a}"]
+    urls += [f"{a}?x=1&b=2", f"{a}?b=2&x=1", f"{a}?", f"{a}?b=2/", f"{a}/b//?c=/", "https://n.test/c", "https://n.test/c", "https://n.test/d", "", None]
+    titles = [f"{i:02d} &amp{';' * (i % 2)}" for i in range(len(urls))]
+    pages = pages_table(spark, *[(i, u, PAGE.format(t, LONG, LONG)) for i, (u, t) in enumerate(zip(urls, titles, strict=True))])
+    part = spark.createDataFrame([(i, "zzz" if u == "https://n.test/d" else "An item", "x", "y") for i, u in enumerate(urls)], "p_partkey long, p_name string, p_type string, p_brand string")
+    got = same_as_sql(spark, tmp_path, "item_page_join", pages=pages, part=part)
+    assert len(got) == 12 and {a + "?utm_source=feed&utm_source=feed", "https://N.test/a", a + "?x=1&b=2", a + "?b=2&x=1"} <= {r[0] for r in got}
